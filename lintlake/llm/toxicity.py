@@ -1,0 +1,211 @@
+"""Toxicity by a weighted finite-state pattern grammar.
+
+Five transducers read a clause's words side by side: insult, threat, target, negation and reported speech.
+Composed, they are one table of states that gives each match in a clause its kind, by what else the clause
+says; a word alone is no feature. Kinds are weighted by a logistic model fitted to labelled rows. The lexicon of the
+insult transducer is the list below and the words and stems that labelled rows show to be insults.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from itertools import product
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+#: Labelled rows that are learned from at most, those with the least hashes of doc_id; the model's only sample.
+MAX_LABELLED = 20_000
+#: A learned insult: in this share of toxic rows and this many of them, so many times likelier than in clean ones,
+#: and of its rows this share is toxic; of these the most frequent so many.
+LEARNED_SHARE, LEARNED_ROWS, LEARNED_RATIO, LEARNED_PURITY, LEARNED_WORDS = 0.01, 5, 50.0, 0.99, 200
+#: Letters of a learned stem, which any word may begin with.
+STEM_LETTERS = (4, 5, 6)
+
+#: The transducers' words.
+INSULTS = (
+    "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile dumb dumbass fool fools "
+    "jerk creep filth vermin retard bastard asshole bitch whore slut pig coward garbage "
+    "dummkopf trottel abschaum versager widerlich erbärmlich arschloch hurensohn "
+    "imbécile crétin connard salope ordure abruti débile "
+    "idiota imbécil estúpido estúpida basura cabrón gilipollas escoria"
+).split()
+THREATS = "kill hurt destroy beat crush punish burn stab shoot strangle töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
+TARGETS = "you your yours u he she they them people everyone him her du dich dein deine ihr euch sie tu toi te vous votre ton ta usted ustedes tú ti ellos".split()
+NEGATIONS = "not no never nobody isn't aren't don't cannot nicht kein keine nie ne pas jamais nunca jamás tampoco".split()
+REPORTS = "said says say called calls wrote writes quoted claims claimed reported sagte schrieb nannte a-dit écrit appelé dijo escribió llamó".split()
+
+KINDS = ("insult", "insult_target", "threat", "threat_target", "negated", "reported")
+#: Words that a target or a negation reaches.
+TARGET_REACH, NEGATION_REACH = 5, 3
+#: Weights of a bias and of log(1 + matches) by kind, towards which the fit is drawn.
+PRIOR = np.array([-2.0, 2.0, 3.0, 0.5, 2.5, 0.2, 0.2])
+PRIOR_STRENGTH = 0.5
+
+_CLAUSE = re.compile(r"[.!?;:,\n]+")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
+# ---- transducers: (states, start, step); step(state, symbol) gives the next state and what it says of the word ----
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+
+
+def _hit(symbol: int):
+    """Says 1 at each word of its class."""
+    return 1, 0, lambda _, s: (0, int(s == symbol))
+
+
+def _near(symbol: int, reach: int):
+    """Says 1 while a word of its class lies at most `reach` words back."""
+    return reach + 1, 0, lambda left, s: (reach, 1) if s == symbol else (max(0, left - 1), int(left > 0))
+
+
+def _since(symbol: int):
+    """Says 1 from a word of its class to the clause's end."""
+    return 2, 0, lambda on, s: (int(on or s == symbol), int(on or s == symbol))
+
+
+def compose(*machines) -> tuple[list[list[tuple[int, tuple]]], int]:
+    """One table [state][symbol] of (next state, what each machine says), over all states of all machines."""
+    states = list(product(*(range(n) for n, _, _ in machines)))
+    number = {s: i for i, s in enumerate(states)}
+    rows = []
+    for state in states:
+        steps = [[m[2](s, symbol) for m, s in zip(machines, state, strict=True)] for symbol in range(6)]
+        rows.append([(number[tuple(n for n, _ in step)], tuple(said for _, said in step)) for step in steps])
+    return rows, number[tuple(m[1] for m in machines)]
+
+
+TABLE, START = compose(_hit(INSULT), _hit(THREAT), _near(TARGET, TARGET_REACH), _near(NEGATION, NEGATION_REACH), _since(REPORT))
+
+
+def clause_kinds(symbols: list[int]) -> list[int]:
+    """The kinds of a clause's matches, each in its context. A target may also follow within its reach."""
+    state, kinds = START, []
+    for i, symbol in enumerate(symbols):
+        state, (insult, threat, target, negated, reported) = TABLE[state][symbol]
+        if insult or threat:
+            target = target or TARGET in symbols[i + 1 : i + 1 + TARGET_REACH]
+            kinds.append(5 if reported else 4 if negated else (0 if insult else 2) + bool(target))
+    return kinds
+
+
+class Grammar:
+    def __init__(self, learned=()):
+        self.symbol = {}
+        self.stems = {w[:-1] for w in learned if w.endswith("*")}
+        learned = [w for w in learned if not w.endswith("*")]
+        for symbol, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, [*INSULTS, *learned])):
+            self.symbol.update(dict.fromkeys(words, symbol))
+        self.triggers = ahocorasick.Automaton()
+        for w, s in self.symbol.items():
+            if s in (INSULT, THREAT):
+                self.triggers.add_word(w, w)
+        for w in self.stems:
+            self.triggers.add_word(w, w)
+        self.triggers.make_automaton()
+
+    def of(self, word: str) -> int:
+        s = self.symbol.get(word)
+        return s if s is not None else INSULT if any(word[:n] in self.stems for n in STEM_LETTERS) else OTHER
+
+    def counts(self, text: str | None) -> list[int]:
+        """Matches of each kind in the clauses of a text."""
+        out = [0] * len(KINDS)
+        low = (text or "").lower()
+        if next(self.triggers.iter(low), None) is None:
+            return out
+        for clause in _CLAUSE.split(low):
+            if next(self.triggers.iter(clause), None) is not None:
+                for kind in clause_kinds([self.of(w) for w in _WORD.findall(clause)]):
+                    out[kind] += 1
+        return out
+
+
+def _features(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ones((len(counts), 1)), np.log1p(counts)], 1)
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights by Newton steps, drawn to PRIOR; without rows PRIOR itself."""
+    x, w = _features(counts), PRIOR.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - labels) + PRIOR_STRENGTH * (w - PRIOR)
+        bend = (x * (p * (1 - p))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        if float(np.abs(step).max()) < 1e-6:
+            break
+    return w
+
+
+def is_held_out(doc_id: str) -> F.Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
+    """(learned insults, a stem with a star, and weights) from labelled rows that aren't held out, at most `max_labelled` of them. Rows whose label
+    is null don't count."""
+    chosen = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_id is not null and _toxic is not null").filter(~is_held_out("_id"))
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_toxic").limit(max_labelled)
+    # as many rows as the parameter says
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_toxic")
+    found = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}{3,})")))
+    stems = [F.transform(F.filter("found", lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM_LETTERS]
+    words = rows.select("_toxic", found.alias("found")).select("_toxic", F.explode(F.array_distinct(F.concat("found", *stems))).alias("word"))
+    n1, n0 = rows.agg(F.sum("_toxic"), F.sum(1 - F.col("_toxic"))).first()
+    n1, n0 = int(n1 or 0), int(n0 or 0)
+    learned = []
+    if n1:
+        counted = words.groupBy("word").agg(F.sum("_toxic").alias("toxic"), F.sum(1 - F.col("_toxic")).alias("clean"))
+        ratio = F.col("toxic") / n1 / ((F.col("clean") + 0.5) / max(1, n0))
+        likely = counted.filter((F.col("toxic") >= max(LEARNED_ROWS, math.ceil(LEARNED_SHARE * n1))) & (ratio >= LEARNED_RATIO) & (F.col("toxic") >= LEARNED_PURITY * (F.col("toxic") + F.col("clean"))))
+        for r in likely.orderBy(F.desc("toxic"), "word").limit(LEARNED_WORDS).collect():  # a bounded model
+            if not any(r.word[:n] + "*" in learned for n in STEM_LETTERS):
+                learned.append(r.word)
+
+    def run(batches):
+        grammar = Grammar(learned)
+        for batch in batches:
+            yield pa.record_batch([pa.array([grammar.counts(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["counts", "toxic"])
+
+    seen = rows.mapInArrow(run, "counts array<int>, toxic int").groupBy("counts", "toxic").count().collect()  # at most max_labelled rows
+    counts = np.array([r["counts"] for r in seen], float).reshape(len(seen), len(KINDS))
+    n = np.array([r["count"] for r in seen], int)
+    return learned, fit(np.repeat(counts, n, 0), np.repeat(np.array([r["toxic"] for r in seen], float), n))
+
+
+def score(docs: DataFrame, learned: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:
+    """`docs` with `counts` (matches by kind) and `score` from 0 to 1. A null or empty text has no clause."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches):
+        grammar = Grammar(learned)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                counts = [grammar.counts(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                z = _features(np.array(counts, float).reshape(-1, len(KINDS))) @ weights
+                yield pa.record_batch([*part.columns[:-1], pa.array(counts, pa.list_(pa.int32())), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*part.schema.names[:-1], "counts", "score"])
+
+    return docs.select("*", F.col(text).cast("string").alias("_scored")).mapInArrow(run, f"{kinds}, counts array<int>, score double")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), *model)
+    return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "counts")
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that score under 0.5, with the columns of `docs`."""
+    scored = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), *learn(docs, labels, text=text))
+    return scored.filter("score < 0.5").select("row.*")
