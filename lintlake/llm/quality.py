@@ -115,7 +115,7 @@ def verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_HOST
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(measure(table(spark, sf_dir, "documents"))).drop("text")
     return verdicts(written(judged.select("doc_id", "source", "m", "base_failed", "soft_failures"), "judged")).select(
-        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept", "soft_failures", "host_rate"
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept", "soft_failures", F.round("host_rate", 6).alias("host_rate")
     )
 
 

@@ -230,11 +230,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, k:
     return back.select("key", spans.alias("s")).groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): each document's words outside its spans, joined by one space."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(t)).alias("key"), t.alias("text")).join(spans.hint("merge"), "key", "left").select("doc_id", "text", F.col("spans.b").alias("b"), F.col("spans.e").alias("e"))
+def without_spans(rows: DataFrame, spans: DataFrame, as_it_was: bool = False) -> DataFrame:
+    """(row, n_words, n_removed, kept) of rows (row, text): the words of `text` outside its spans, joined by one space;
+    with `as_it_was` a text that loses no word stays as it was."""
+    kind = rows.schema["row"].dataType.simpleString()
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = rows.select("row", F.unhex(F.md5(t)).alias("key"), t.alias("text")).join(spans.hint("merge"), "key", "left").select("row", "text", F.col("spans.b").alias("b"), F.col("spans.e").alias("e"))
 
     def run(batches):
         for batch in batches:
@@ -249,11 +250,11 @@ def without_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) ->
                         np.add.at(edge, b, 1)
                         np.subtract.at(edge, e, 1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
-                    rows.append((n, n - len(words), b" ".join(words)))
+                    rows.append((n, n - len(words), t if as_it_was and n == len(words) else b" ".join(words)))
                 n, removed, kept = ([r[c] for r in rows] for c in range(3))
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
@@ -263,7 +264,17 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     A null text has no words; a text shorter than a window loses none; of equal texts of a window or more nothing
     is left. Null and repeated doc_ids stay; other columns are not read.
     """
-    return without_spans(docs, repeated_spans(docs, text, window, **how), doc_id, text)
+    rows = docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text"))
+    return without_spans(rows, repeated_spans(docs, text, window, **how)).withColumnRenamed("row", "doc_id")
+
+
+def strip_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
+    """`docs` with its columns, texts without repeated windows and their new length in `n_chars`. Documents stay even
+    if no word is left; a null text becomes empty."""
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != text), F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
+    done = without_spans(rows, repeated_spans(docs, text, **how), as_it_was=True)
+    new = {text: F.col("kept"), n_chars: F.char_length("kept").cast("long")}
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def strip_reference(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id", text: str = "text", reference_text: str = "text", window: int = WINDOW) -> DataFrame:
