@@ -1,4 +1,15 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All queries of the library but those of the training-data subpackage, and their SQL."""
+
+from __future__ import annotations
+
+from lintlake.plans import corpus, texts, warehouse
+
+_PLANS = (corpus, texts, warehouse)
+
+
+def queries() -> dict:
+    return {n: f for p in _PLANS for n, f in p.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: q for p in _PLANS for n, q in p.SQL.items()}
