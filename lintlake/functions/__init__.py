@@ -77,7 +77,7 @@ def table_name(model: Column) -> Column:
     """The table that a model class names by convention."""
     s = snake_case(model)
     return (
-        F.when(s.rlike("[^aeiou]y$"), F.concat(F.expr("''"), F.regexp_replace(s, "y$", "ies")))
+        F.when(s.rlike("[^aeiou]y$"), F.regexp_replace(s, "y$", "ies"))
         .when(s.rlike("(s|x|z|ch|sh)$"), F.concat(s, F.lit("es")))
         .otherwise(F.concat(s, F.lit("s")))
     )
@@ -85,7 +85,7 @@ def table_name(model: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits a character."""
-    chars = F.split(text, "(?!^)")
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.size(chars)
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - F.size(F.filter(chars, lambda x: x == c)) / n * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
 
