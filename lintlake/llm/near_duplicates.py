@@ -80,6 +80,21 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(t)).alias("key"), t.alias("text"))
 
 
+def _once_a_task(keyed: DataFrame) -> DataFrame:
+    """The rows of `keyed` without those whose key its task has given before, so that a hot text's copies aren't shuffled."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for k in batch.column(0).to_pylist():
+                new.append(k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return keyed.mapInArrow(run, "key binary, text string")
+
+
 def forest(keyed: DataFrame, shingle: int, trees: int, signature: int) -> DataFrame:
     """(tree, signature, key) of each text with a word; a task gives a text once."""
 
@@ -259,7 +274,7 @@ def near_duplicates(
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
     members = candidates.join(sizes.hint("merge"), "root").join(texts.hint("merge"), F.col("node") == F.col("key")).select("key", "root", "size", "copies")
     # each text once, from whichever of its copies comes first
-    with_text = members.hint("merge").join(keyed, "key").dropDuplicates(["key"])
+    with_text = members.hint("merge").join(_once_a_task(keyed), "key").dropDuplicates(["key"])
     found = written(_verified(_shingle_sets(with_text, shingle), threshold, block), "verified")
     classes = components(found.select(F.col("key").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
