@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake import functions, sources, streaming
-from lintlake.operators import changes, clones, filters, findings, graphs, scoring
+from lintlake.operators import changes, clones, filters, findings, graphs, php, rules, scoring
 
 
 def one(spark, column):
@@ -140,3 +140,73 @@ def test_trend(spark):
     rows = [("p", datetime(2025, 1, d), float(d)) for d in range(1, 15)] + [("q", datetime(2025, 1, 1), 3.0)]
     got = changes.trend(spark.createDataFrame(rows, "project string, at timestamp, score double"), "project", ["at"], "score").collect()
     assert {r.project: (r.n_scans, r.first_score, r.last_score, r.direction) for r in got} == {"p": (10, 5.0, 14.0, "improving"), "q": (1, 3.0, 3.0, "insufficient_data")}
+
+
+PHP = {
+    "app/Services/PayService.php": """<?php
+namespace App\\Services;
+use App\\Models\\Order;
+/* class Hidden { function no() {} } */
+abstract class PayService extends Base implements Payable, \\Countable {
+    public function __construct(private Gateway $gateway, LedgerService $ledger) {}
+    public static function pay(?int $a = null, ...$rest): ?string {
+        if ($a && $rest) { throw new \\Exception("if {"); }
+        foreach ($rest as $r) { $x .= $r; }
+        Order::create($request->all()); $this->log->save();
+        return $a ? 'x' : null;
+    }
+    private function idle() { try { run(); } catch (E $e) { } }
+    private function used() { exec("ls $dir"); return $this->used(); }
+}
+function free() { return new class { public function inner() {} }; }
+interface Payable { public function pay(); }
+""",
+    "app/Services/LedgerService.php": "<?php declare(strict_types=1);\nnamespace App\\Services;\nclass LedgerService { function a() { return new PayService(); } }\n",
+    "routes/web.php": "<?php\nRoute::get('/a/{x}', [A::class, 'i']);\n// Route::get('/b', 'no');\nRoute::get('a/{y}/', fn () => env('K'));\nRoute::match(['get', 'post'], 'm', [B::class, 'j'])->middleware(['auth']);\n",
+    "broken.php": "<?php class Open { function f() { if (",
+    "empty.php": "",
+    "null.php": None,
+}
+
+
+@pytest.fixture(scope="module")
+def php_facts(spark):
+    return rules.Facts(spark.createDataFrame(list(PHP.items()), "path string, content string"))
+
+
+def test_php_facts(php_facts):
+    classes = {r.name: r for r in php_facts.classes.collect()}
+    assert set(classes) == {"PayService", "Payable", "LedgerService", "Open"}
+    pay = classes["PayService"]
+    assert (pay.fqcn, pay.parent, pay.interfaces, pay.is_abstract, pay.first_line, pay.last_line) == ("App\\Services\\PayService", "Base", ["Payable", "\\Countable"], True, 5, 15)
+    methods = {(r["class"], r.name): r for r in php_facts.methods.collect()}
+    m = methods["PayService", "pay"]
+    assert (m.visibility, m.is_static, m.params, m.thrown, m.returns, m.loc) == ("public", True, ["a", "rest"], ["\\Exception"], "?string", 6)
+    assert m.cyclomatic == 5  # if, &&, foreach, ?:
+    assert methods["PayService", "__construct"].types == ["Gateway", "LedgerService"]
+    assert ("Open", "f") in methods
+    assert {tuple(r) for r in php_facts.edges.collect()} >= {("App\\Services\\PayService", "App\\Services\\LedgerService"), ("App\\Services\\LedgerService", "App\\Services\\PayService")}
+
+
+def test_php_routes(php_facts):
+    got = [(r.line, r.verb, r.uri, r.controller, r.action, r.middleware, r.is_closure) for r in php_facts.routes.orderBy("line").collect()]
+    assert got == [(2, "get", "/a/{x}", "A", "i", [], False), (4, "get", "/a/{y}", None, None, [], True), (5, "match", "/m", "B", "j", ["auth"], False)]
+
+
+def test_rules_over_facts(php_facts):
+    found = {(r.rule_id, r.file) for r in rules.scan(php_facts.sources).collect()}
+    pay, web = "app/Services/PayService.php", "routes/web.php"
+    want = "unused-private-method circular-dependency command-injection-risk mass-assignment-risk custom-exception-suggestion exception-swallowing string-concat-in-loop missing-strict-types transaction-required-for-multi-write"
+    assert {r for r, f in found if f == pay} == set(want.split())
+    assert {r for r, f in found if f == web} == {"duplicate-route-definition", "no-closure-routes", "env-outside-config"}
+    assert not any(f in ("empty.php", "null.php") for _, f in found)
+
+
+def test_rules_over_no_files(spark):
+    assert rules.scan(spark.createDataFrame([], "path string, content string")).count() == 0
+
+
+def test_components(spark):
+    src = spark.createDataFrame([("a/B.tsx", "import React, { useState } from 'react'\nexport default function B() { const [x] = useState(1); return <C/> }\nconst C = () => import('./d')\n")], "path string, content string")
+    r = php.components(src).first()
+    assert (r.components, r.hooks, r.imports) == (["B", "C"], ["useState"], ["react", "./d"])
