@@ -26,7 +26,7 @@ class LineRule:
     overlap_rank: int = 0
 
 
-MAX_LINE, MAX_MATCH = 240, 120
+MAX_MATCH = 120
 
 
 def lines_of(sources: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def lines_of(sources: DataFrame) -> DataFrame:
     return sources.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "content")).select("path", (F.col("pos") + 1).alias("line"), "content")
 
 
-def scan_lines(sources: DataFrame, rules: list[LineRule], max_line: int = MAX_LINE) -> DataFrame:
-    """Findings of all rules in one pass over the lines: for each line and rule the first match. Longer lines are cut
-    before they are matched; the whole scan is one projection, so no row is shuffled."""
-    line = F.substring(F.col("content"), 1, max_line)
+def scan_lines(sources: DataFrame, rules: list[LineRule]) -> DataFrame:
+    """Findings of all rules in one pass over the lines: for each line and rule the first match. The whole line is
+    searched, only the stored match is cut; the whole scan is one projection, so no row is shuffled."""
+    line = F.col("content")
     hits = F.array(
         *(
             F.when(

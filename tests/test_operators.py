@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake import functions, sources, streaming
 from lintlake.operators import changes, clones, filters, findings, graphs, php, rules, scoring
+from lintlake.plans import corpus
 
 
 def one(spark, column):
@@ -58,6 +59,16 @@ def test_empty_and_null_sources(spark):
     assert findings.scan_lines(df.limit(0), [rule()]).count() == 0
 
 
+def test_long_lines_are_searched_whole(spark):
+    far = "x" * 235 + " bad " + "y" * 300
+    df = spark.createDataFrame([("past", "z" * 300 + " bad"), ("across", far), ("long", "q" * 400)], "path string, content string")
+    rows = findings.scan_lines(df, [rule(pattern="(z{300} )?bad"), rule(rule_id="after", pattern="bad y+")]).collect()
+    assert sorted((r.file, r.rule_id, len(r.context)) for r in rows) == [("across", "after", 120), ("across", "r", 3), ("past", "r", 120)]
+    long_line = next(r for r in corpus.RULES if r.rule_id == "long-line")
+    sizes = spark.createDataFrame([("a", "q" * 239), ("b", "q" * 240), ("c", "q" * 241), ("d", "q" * 250 + "\r" + "q")], "path string, content string")
+    assert {r.file for r in findings.scan_lines(sizes, [long_line]).collect()} == {"b", "c", "d"}
+
+
 def test_inline_marks(spark):
     f = spark.createDataFrame([("a", n, r) for n in range(1, 6) for r in ("r", "s")], "file string, line int, rule_id string")
     marks = spark.createDataFrame([("a", 1, "r", False), ("a", 4, "*", True)], "file string, line int, rule_id string, is_next boolean")
