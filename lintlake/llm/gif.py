@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,10 +202,15 @@ def _interlaced_rows(height: int) -> np.ndarray:
 
 def decode_gif(data: bytes, compose: bool = True) -> list[Frame]:
     """Frames in order. `compose=False` leaves out the screens."""
+    return list(frames_of(data, compose))
+
+
+def frames_of(data: bytes, compose: bool = True) -> Iterator[Frame]:
+    """Frames of `decode_gif` one by one, so that only one screen need be held."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     try:
-        return _decoded(data, compose)
+        yield from _decoded(data, compose)
     except (IndexError, struct.error) as e:
         raise GifError("the file ends early") from e
 
@@ -228,11 +234,10 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def _decoded(data: bytes, compose: bool) -> list[Frame]:
+def _decoded(data: bytes, compose: bool) -> Iterator[Frame]:
     width, height, flags = struct.unpack("<HHB", data[6:11])
     shared, at = _palette(data, 13, flags)
     screen = np.zeros((height, width, 4), np.uint8) if compose else None
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, -1
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -268,15 +273,15 @@ def _decoded(data: bytes, compose: bool) -> list[Frame]:
                 area[:] = 0
             elif disposal == 3:
                 screen = before
-        frames.append(Frame(left, top, w, h, delay, disposal, transparent, indices, shown))
+        yield Frame(left, top, w, h, delay, disposal, transparent, indices, shown)
         delay, disposal, transparent = 0, 0, -1
-    return frames
 
 
 def colour_histogram(screen: np.ndarray, levels: int = 4) -> np.ndarray:
     """Counts of opaque pixels in levels ** 3 cells of red, green and blue, and of the others last."""
-    q = screen.reshape(-1, 4).astype(np.int64)
-    cell = (q[:, 0] * levels // 256 * levels + q[:, 1] * levels // 256) * levels + q[:, 2] * levels // 256
+    q = screen.reshape(-1, 4)
+    level = (np.arange(256) * levels // 256).astype(np.int32)
+    cell = (level[q[:, 0]] * levels + level[q[:, 1]]) * levels + level[q[:, 2]]
     return np.bincount(np.where(q[:, 3] > 0, cell, levels**3), minlength=levels**3 + 1)
 
 
@@ -325,10 +330,11 @@ def gif_frames(media: DataFrame, key: str, column: str = "media") -> DataFrame:
                 part, rows = batch.slice(at, 100), []
                 for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     try:
-                        start = 0
-                        for i, f in enumerate(decode_gif(data or b"")):
-                            rows.append((k, i, start, f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, f.transparent, colour_histogram(f.screen).tolist(), None))
+                        start, shown = 0, []
+                        for i, f in enumerate(frames_of(data or b"")):
+                            shown.append((k, i, start, f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, f.transparent, colour_histogram(f.screen).tolist(), None))
                             start += f.delay_cs
+                        rows += shown
                     except GifError as e:
                         rows.append((k, *[None] * 10, str(e)))
                 yield pa.record_batch([pa.array(c, t or part.schema.field(0).type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
@@ -337,19 +343,19 @@ def gif_frames(media: DataFrame, key: str, column: str = "media") -> DataFrame:
 
 
 def stored_features(media: DataFrame) -> DataFrame:
-    """Reads the stored GIFs of `texts_to_gifs` back: digests of the payload and of the file, and the colour
-    histogram of all frames in 8 levels of grey with the frames and the seconds that they take."""
+    """Reads the stored GIFs of `texts_to_gifs` back: digests of the payload and of the file, and, added up over the
+    frames, the colour histograms of the composed screens with the frames and the hundredths of a second they take."""
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs"]
 
     def features(n_bytes: int, data: bytes) -> tuple:
-        frames = decode_gif(data, compose=False)
-        payload = b"".join(f.indices.tobytes() for f in frames)
-        # every frame covers what it shows and its palette is grey: the screen's colours are the samples
-        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8)
+        payload, size, tail, colours, n, time = hashlib.sha256(), 0, b"", np.zeros(4**3 + 1, np.int64), 0, 0
+        for f in frames_of(data):
+            samples = f.indices.tobytes()
+            payload.update(samples)
+            size, tail, colours, n, time = size + len(samples), (tail + samples[-16:])[-16:], colours + colour_histogram(f.screen), n + 1, time + f.delay_cs
         return (
-            n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-            ",".join(map(str, grey.tolist())), len(frames), sum(f.delay_cs for f in frames),
+            n_bytes, size, payload.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, colours.tolist())), n, time,
         )
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]

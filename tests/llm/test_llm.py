@@ -105,6 +105,28 @@ def test_gif_rules(spark):
     assert all(r.error for r in rows if r.key != 1)
 
 
+def test_stored_feature_is_of_the_composed_screens(spark):
+    text = "".join(chr(32 + i % 90) for i in range(192 * 700))  # a frame of 512 rows, then one of 188
+    first = np.frombuffer(text.encode(), np.uint8)
+    screens = [first[: 192 * 512], np.concatenate([first[192 * 512 :], first[192 * 188 : 192 * 512]])]
+    want = [0] * 65
+    for screen in screens:
+        for grey, n in Counter(screen.tolist()).items():
+            want[grey // 64 * 21] += n
+    row = gif.stored_features(gif.texts_to_gifs(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (row.feature, row.n_frames, row.duration_cs) == (",".join(map(str, want)), 2, 20)
+    # disposal and transparency count, and the digest is of the raw samples
+    a, b = np.full((4, 4), 200, np.uint8), np.zeros((2, 2), np.uint8)
+    cleared = gif.encode_gif([a, b], gif.GREYS, disposal=2)
+    seen = cleared[:-1].replace(b"\x21\xf9\x04\x08", b"\x21\xf9\x04\x09") + b"\x3b"
+    rows = spark.createDataFrame([(1, 20, bytearray(cleared)), (2, 20, bytearray(seen))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in gif.stored_features(rows).collect()}
+    cells = lambda r: {i: n for i, n in enumerate(map(int, r.feature.split(","))) if n}
+    assert cells(got[1]) == {63: 16, 0: 4, 64: 12} and cells(got[2]) == {63: 16, 64: 16}
+    assert got[1].payload_sha256 == hashlib.sha256(a.tobytes() + b.tobytes()).hexdigest()
+    assert got[1].tail_crc32 == zlib.crc32((a.tobytes() + b.tobytes())[-16:])
+
+
 @pytest.mark.parametrize("bits", [2, 5, 8])
 def test_lzw_against_a_plain_decoder(bits):
     data = bytes(random.Random(bits).choices(range(1 << bits), k=9000)) + bytes(5000)
