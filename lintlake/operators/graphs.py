@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _shared(df: DataFrame) -> None:
+    """Sees to it that `cut` cuts: rounds without end need written tables. A folder of our own only where none is named."""
+    conf = df.sparkSession.conf
+    if not conf.get("spark.checkpoint.dir", None):
+        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+
+
 def simple(edges: DataFrame) -> DataFrame:
     return edges.filter("src != dst").select("src", "dst").distinct()
 
@@ -28,11 +37,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(into, "node", "full_outer").na.fill(0)
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(start, node, depth): the shortest number of steps, at most `max_depth`. `starts` has a column node."""
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = 20) -> DataFrame:
+    """(start, node, depth): the shortest number of steps, at most `max_depth`, or any where that is None. `starts` has
+    a column node."""
+    if max_depth is None:
+        _shared(edges)
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = cut(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -41,13 +53,65 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 20) -> DataFrame
     return seen
 
 
-def cycles(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(node, component): nodes that reach themselves, with the least node that they reach and that reaches them, over
-    paths of at most `max_depth` edges. Meant for graphs of one project: closures grow with the square of a component."""
-    nodes = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-    closure = reach(edges, nodes, max_depth).filter("depth > 0").select(F.col("start").alias("a"), F.col("node").alias("b"))
-    mutual = closure.alias("x").join(closure.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("node"), F.col("x.b").alias("other"))
-    return mutual.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least label that reaches a node over `edges`, in rounds until nothing changes."""
+    front = labels
+    while True:
+        # only labels that fell in the round before can lower others
+        offered = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        both = cut(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("fell")))
+        labels, front = both.select("node", "label"), both.filter("fell").select("node", "label")
+        if front.isEmpty():
+            return labels
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that nothing enters or nothing leaves, as long as a round drops a tenth of the edges:
+    such nodes are in no cycle; those left over fall to later rounds."""
+    n = edges.count()
+    while n:
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n > 0.9 * before:
+            break
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes on a cycle of two nodes or more, with the least node of their strongly connected component.
+
+    Exact at any length. Each round gives a node the least node that reaches it; a node that keeps its own name is the
+    root of a component, which holds those of its name that reach it in turn. Edges between names, and those of found
+    components, fall away, until no edge is left. Tables stay as long as the nodes and edges; rounds grow with paths."""
+    _shared(edges)
+    edges = _trimmed(cut(simple(edges)))
+    found = None
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+        names = _spread(cut(nodes.withColumn("label", F.col("node"))), edges)
+        a, b = names.toDF("src", "a"), names.toDF("dst", "b")
+        inner = cut(edges.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst", F.col("a").alias("name")))
+        met = _backwards(names.filter("node = label").select("node", F.col("label").alias("component")), inner)
+        found = met if found is None else cut(found.unionByName(met))
+        done = met.select("node")
+        rest = inner.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")
+        edges = _trimmed(cut(rest.select("src", "dst")))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    several = found.filter("node != component").select("component").distinct()
+    return found.join(several, "component", "left_semi").select("node", "component")
+
+
+def _backwards(met: DataFrame, inner: DataFrame) -> DataFrame:
+    """(node, component): the roots `met` and the nodes that reach the root of their name; `inner` has only edges within a name."""
+    front = met
+    while True:
+        nxt = front.join(inner, front["node"] == inner["dst"]).select(F.col("src").alias("node"), "component").distinct()
+        front = cut(nxt.join(met.select("node"), "node", "left_anti").select("node", "component"))
+        if front.isEmpty():
+            return met
+        met = cut(met.unionByName(front))
 
 
 def unresolved_to_known(raw: DataFrame, known: DataFrame) -> DataFrame:

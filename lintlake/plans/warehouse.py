@@ -107,11 +107,26 @@ def bfs(s, d):
     return graphs.reach(_edges(s), s.createDataFrame([("f",), ("d",)], "node string")).select("start", "node", "depth")
 
 
+def _part_edges(s, d):
+    return graphs.simple(_t(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+def dep_scc(s, d):
+    return graphs.cycles(_part_edges(s, d))
+
+
+def dep_bfs(s, d):
+    e = _part_edges(s, d)
+    return graphs.reach(e, e.agg(F.max("src").alias("node")), max_depth=None).select("start", "node", "depth")
+
+
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in EDGES if a != b)
 _E = "e AS (SELECT DISTINCT l_partkey % 97 AS src, l_suppkey % 89 AS dst FROM lineitem WHERE l_partkey % 97 <> l_suppkey % 89)"
 _CONFIG = ", ".join(f"('NATION_{i}', {str(i % 3 != 0).lower()})" for i in range(0, 25, 2))
 _CLOSURE = f"e(src, dst) AS (VALUES {_VALUES}), r(a, b, n) AS (SELECT src, dst, 1 FROM e UNION SELECT a, dst, n + 1 FROM r JOIN e ON b = src WHERE n < 20)"
 
+_PARTS = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
+
 SQL = {
     "dep_edges": f"WITH {_E} SELECT src, dst FROM e",
     "out_degree_topk": f"""WITH {_E}, o AS (SELECT src AS node, count(*) AS out_degree FROM e GROUP BY src), i AS (SELECT dst AS node, count(*) AS in_degree FROM e GROUP BY dst)
@@ -142,5 +157,10 @@ SELECT *, CASE WHEN skipped / n >= 0.6 THEN 0.88 WHEN fixed / n >= 0.65 THEN 1.0
     "ruleset_overlay": "SELECT n_name AS rule_id, CASE WHEN n_nationkey % 4 = 0 THEN n_regionkey + 10 ELSE n_regionkey END AS level FROM nation",
     "scc": f"WITH RECURSIVE {_CLOSURE}, p AS (SELECT DISTINCT a, b FROM r) SELECT x.a AS node, least(min(x.b), x.a) AS component FROM p x JOIN p y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "bfs": f"WITH RECURSIVE {_CLOSURE} SELECT a AS start, b AS node, CASE WHEN a = b THEN 0 ELSE min(n) END AS depth FROM r WHERE a IN ('f', 'd') GROUP BY a, b UNION SELECT 'f', 'f', 0",
+    "dep_scc": f"""WITH RECURSIVE {_PARTS}, r(a, b) AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""",
+    "dep_bfs": f"""WITH RECURSIVE {_PARTS}, t AS (SELECT max(src) AS a FROM e), m AS (SELECT count(DISTINCT dst) AS n FROM e),
+r(a, b, n) AS (SELECT a, a, 0 FROM t UNION SELECT a, dst, r.n + 1 FROM r JOIN e ON b = src WHERE r.n < (SELECT n FROM m))
+SELECT a AS start, b AS node, min(n) AS depth FROM r GROUP BY a, b""",
 }
 QUERIES = {n: globals()[n] for n in SQL}

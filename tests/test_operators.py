@@ -107,6 +107,18 @@ def test_reach_and_cycles(spark):
     assert sorted(map(tuple, graphs.reach(e, spark.createDataFrame([("a",)], "node string"), 1).collect())) == [("a", "a", 0), ("a", "b", 1)]
 
 
+def test_long_cycles_are_whole(spark):
+    ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]
+    # a ring of 24, one of 26 that it leads to, two small ones and paths in and out
+    e = ring(0, 24) + ring(100, 26) + [(5, 120), (200, 201), (201, 200), (201, 300), (300, 301), (301, 302), (302, 300), (302, 0), (7, 400), (400, 401), (500, 501), (501, 200), (9, 9), (600, 600)]
+    want = {i: 0 for i in range(24)} | {100 + i: 100 for i in range(26)} | {200: 200, 201: 200, 300: 300, 301: 300, 302: 300}
+    got = graphs.cycles(spark.createDataFrame(e, "src int, dst int")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert graphs.cycles(spark.createDataFrame([], "src int, dst int")).count() == 0
+    far = graphs.reach(spark.createDataFrame(e, "src int, dst int"), spark.createDataFrame([(100,)], "node int"), None)
+    assert {r.node: r.depth for r in far.collect()} == {100 + i: i for i in range(26)}
+
+
 def test_project_files(spark, tmp_path):
     for name, text in (("app/A.php", "x"), ("vendor/B.php", "y"), ("app/view.blade.php", "z"), ("README.md", "r"), ("composer.json", "{}"), ("sub/composer.json", "{}")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
