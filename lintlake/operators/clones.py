@@ -35,6 +35,25 @@ def runs(p: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
     return g.select("a", "b", "first_a", "first_b", "n_windows", (window + (F.col("n_windows") - 1) * step).alias("n_tokens"))
 
 
+def members(w: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
+    """(path, idx, hash, first_path, n_files): the places that `pairs` leaves out, each with its class: the window's
+    hash, the least file that has it and the number of files that do."""
+    first = Window.partitionBy("hash").orderBy("path", "idx")
+    classes = w.groupBy("hash").agg(F.min("path").alias("first_path"), F.countDistinct("path").alias("n_files")).filter("n_files > 1")
+    rest = w.withColumn("n", F.row_number().over(first)).filter(F.col("n") > max_places).drop("n")
+    return rest.join(classes, "hash").select("path", "idx", "hash", "first_path", "n_files")
+
+
+def shared_intervals(w: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(path, first, last): tokens of each two neighbouring windows that another file has as neighbours too. Together
+    they are all the runs of two windows or more between any two files, however many copies there are."""
+    after = w.select("path", (F.col("idx") - 1).alias("idx"), F.col("hash").alias("next"))
+    two = w.join(after, ["path", "idx"])
+    shared = two.groupBy("hash", "next").agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a < b").select("hash", "next")
+    first = F.col("idx") * step
+    return two.join(shared, ["hash", "next"], "left_semi").select("path", first.alias("first"), (first + step + window - 1).alias("last"))
+
+
 def covered(intervals: DataFrame) -> DataFrame:
     """(path, first, last) disjoint intervals that cover the same as those given."""
     before = Window.partitionBy("path").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)

@@ -82,11 +82,12 @@ def clone_runs(s, d):
     return clones.runs(clones.pairs(clones.windows(sources(s, d))))
 
 
+def clone_members(s, d):
+    return clones.members(clones.windows(sources(s, d)))
+
+
 def _intervals(s, d):
-    r = clones.runs(clones.pairs(clones.windows(sources(s, d))))
-    end = lambda first: first * clones.STEP + F.col("n_tokens") - 1
-    a = r.select(F.col("a").alias("path"), (F.col("first_a") * clones.STEP).alias("first"), end(F.col("first_a")).alias("last"))
-    return a.unionByName(r.select(F.col("b").alias("path"), (F.col("first_b") * clones.STEP).alias("first"), end(F.col("first_b")).alias("last")))
+    return clones.shared_intervals(clones.windows(sources(s, d)))
 
 
 def clone_interval_union(s, d):
@@ -185,6 +186,9 @@ SQL = {
     + "), f AS (SELECT word, arg_min(enum, ord) AS enum FROM v GROUP BY word), w AS (SELECT unnest(regexp_extract_all(lower(content), '[a-z]+')) AS word FROM src) SELECT word, enum, count(*) AS n FROM w JOIN f USING (word) GROUP BY ALL",
     "clone_windows": f"WITH {_WIN} SELECT hash, count(*) AS n, min(path) AS first_path FROM win GROUP BY hash HAVING count(*) > 1",
     "clone_pairs": f"WITH {_PAIRS} SELECT a, b, count(*) AS n_windows FROM pairs GROUP BY a, b",
+    "clone_members": f"""WITH {_WIN}, c AS (SELECT hash, min(path) AS first_path, count(DISTINCT path) AS n_files FROM win GROUP BY hash HAVING count(DISTINCT path) > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path, idx) AS n FROM win)
+SELECT path, idx, hash, first_path, n_files FROM r JOIN c USING (hash) WHERE n > 16""",
     "clone_runs": f"WITH {_RUNS} SELECT * FROM runs",
     "clone_interval_union": f"WITH {_COVER} SELECT path, first::BIGINT AS first, last::BIGINT AS last FROM cover",
     "duplication_pct": f"WITH {_COVER} SELECT c.path, sum(last - first + 1)::BIGINT AS duplicated, count(*) AS n_blocks, round_even(sum(last - first + 1) / any_value(len(t)) * 100, 4) AS pct FROM cover c JOIN tok USING (path) GROUP BY c.path",
