@@ -258,9 +258,10 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD,
     trees: int = TREES, signature: int = SIGNATURE, target_recall: float = TARGET_RECALL, block: int = BLOCK,
 ) -> DataFrame:
-    """One row a document: (doc_id, class_id, n_links, key). A class is a component of texts linked by a Jaccard
+    """One row a document: (doc_id, class_id, n_links, key, root). A class is a component of texts linked by a Jaccard
     similarity of `threshold` or more of their word shingles; class_id is its least doc_id. n_links counts the other
-    documents that the document's text is linked to, copies included. `key` is the text's md5.
+    documents that the document's text is linked to, copies included. `key` is the text's md5, `root` the key
+    that tells its class from all others, with or without ids (null for documents without words).
 
     Words are taken as they stand. Documents without words (null, empty or blank) are alike to none, not even to each
     other: class_id is their own doc_id. Null and repeated doc_ids stay; a class without any id has a null class_id.
@@ -281,7 +282,7 @@ def near_duplicates(
     known = texts.join(classes.hint("merge"), "key", "left").join(links.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = written(known, "known")
     named = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_text = known.join(named.hint("merge"), "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_text = known.join(named.hint("merge"), "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("key"), blank.alias("blank"))
     return own.join(per_text.hint("merge"), "key").select(
@@ -289,21 +290,23 @@ def near_duplicates(
         F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("blank"), F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"),
         "key",
+        F.when(~F.col("blank"), F.col("root")).alias("root"),
     )
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the least doc_id (then the least text digest), with the columns of `docs`.
-    Documents without words and those without id stay."""
+    """One document of each class, that with the least doc_id, one without id last, then the least text digest, with
+    the columns of `docs`. Documents without words stay."""
     classes = near_duplicates(docs, doc_id, text)
-    # a row is told by its id and its text; of wholly equal rows one stays
-    best = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("key").alias("key"))
+    best = classes.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    best = best.select("x.key", F.col("x.doc_id").alias("best_id"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.unhex(F.md5(t)).alias("key"), (~t.rlike(r"[^\x20\x09-\x0D]")).alias("blank"))
-    stay = rows.filter("blank or doc_id is null").select("row")
-    chosen = rows.filter("not blank and doc_id is not null").join(best.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("row")
+    stay = rows.filter("blank").select("row")
+    # a text is in one class, so its key tells the class; of rows with that id and text one stays
+    chosen = rows.filter("not blank").join(best.hint("merge"), "key").filter("doc_id <=> best_id").dropDuplicates(["key"]).select("row")
     return stay.unionByName(chosen).select("row.*")

@@ -232,6 +232,17 @@ def test_keep_one(odd, none):
     assert near_duplicates.keep_one(none).count() == 0
 
 
+def test_keep_one_of_each_class_whatever_its_ids(spark):
+    r = random.Random(3)
+    text = [" ".join(f"t{r.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
+    near = text[3].rsplit(" ", 1)[0] + " other"
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (None, near), (None, text[4]), (9, text[4]), (None, " "), (None, None)]
+    kept = [(x.doc_id, x.text) for x in near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    either = [x for x in kept if x[1] in (text[3], near)]
+    assert len(either) == 1 and either[0][0] is None
+    assert Counter(x for x in kept if x not in either) == Counter([(1, text[0]), (1, text[1]), (None, text[2]), (9, text[4]), (None, " "), (None, None)])
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(f"a{i:04}", f"a{i + 1:04}") for i in range(300)] + [("b", "c"), ("c", "b"), ("d", "d")]
