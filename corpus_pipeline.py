@@ -37,8 +37,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return digest(pack_documents(docs))
+    """Pieces of documents in sequences, with their ids."""
+    return digest(pack_documents(docs), "ids")
 
 
 STAGES = [

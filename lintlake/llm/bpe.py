@@ -15,13 +15,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
-from .tokens import CACHE_ENTRIES, DEFAULT_TOKENIZER, WORD_PATTERN, pieces, vocabulary
+from .common import renamed, slices, table, with_fields
+from .tokens import DEFAULT_TOKENIZER, WORD_PATTERN, PieceCache, pieces, vocabulary
 
 
 class PairIndexEncoder:
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, full: int | None = None):
         v = vocabulary(path)
         id_of = lambda token: v.ids[bytes(v.letters[c] for c in token)]
         self.left = np.array([id_of(a) for a, _ in v.merges], np.int64)
@@ -34,14 +35,11 @@ class PairIndexEncoder:
         self.word = regex.compile(WORD_PATTERN)
         self.special = v.special
         self.special_at = regex.compile("(" + "|".join(regex.escape(s) for s in v.special) + ")") if v.special else None
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # pieces that follow a space, without it
-        self.plain: dict[str, bytes] = {}
-        self.entries = entries
+        self.cache = PieceCache(full)  # of pieces that follow a space, without it
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where the vocabulary has none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.by_key[at], -1)
 
@@ -52,7 +50,8 @@ class PairIndexEncoder:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         sym = np.append(self.byte_ids[raw], -1)  # position n stands for "none"
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        sym = sym.astype(np.int32)
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         nxt[ends - 1] = n
         prv[(ends - sizes)] = n
         nxt[n] = prv[n] = n
@@ -75,7 +74,7 @@ class PairIndexEncoder:
                     heapq.heappush(active, r)
                 index[r].append(positions)
 
-        note(np.arange(n))
+        note(np.arange(n, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -112,38 +111,26 @@ class PairIndexEncoder:
             return [w for part in self.special_at.split(piece) for w in ([part] if part in self.special else self.word.findall(part))]
         return self.word.findall(piece)
 
-    def learn(self, new: list[str], into: dict[str, bytes], lead: str) -> None:
-        """Enter the pieces `lead + x` of `new` under x."""
+    def _encoded(self, new: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of the pieces `lead + x` by x."""
         cut = [self._words(lead + p) for p in new]
-        unknown = list({w for ws in cut for w in ws} - self.words.keys() - self.special.keys())
-        for at in range(0, len(unknown), 200_000):
-            part = unknown[at : at + 200_000]
-            for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
-                self.words[w] = ids.tobytes()
-        for s, i in self.special.items():
-            self.words[s] = np.array([i], "<u2").tobytes()
-        words = self.words.__getitem__
-        for p, ws in zip(new, cut, strict=True):
-            into[p] = b"".join(map(words, ws))
+        unknown = list({w for ws in cut for w in ws} - self.special.keys())
+        of_word = {s: np.array([i], "<u2").tobytes() for s, i in self.special.items()}
+        if unknown:
+            of_word.update(zip(unknown, (ids.tobytes() for ids in self.merge([w.encode() for w in unknown])), strict=True))
+        return {p: b"".join(map(of_word.__getitem__, ws)) for p, ws in zip(new, cut, strict=True)}
 
     def batch(self, texts: list[str | None]):
-        """Yield the ids of each text as little-endian unsigned 16-bit bytes."""
-        for at in range(0, len(texts), 4000):
-            cut = [pieces(t or "") for t in texts[at : at + 4000]]
-            if len(self.spaced) + len(self.plain) + len(self.words) > self.entries:
-                for d in (self.spaced, self.plain, self.words):
-                    d.clear()
-            spaced: set[str] = set()
-            plain: set[str] = set()
-            for first, rest, odd in cut:
-                spaced.update(rest)
-                plain.update(odd)
-                plain.add(first)
-            self.learn(list(spaced - self.spaced.keys()), self.spaced, " ")
-            self.learn(list(plain - self.plain.keys()), self.plain, "")
-            after_space, alone = self.spaced.__getitem__, self.plain.__getitem__
-            for first, rest, odd in cut:
-                yield b"".join(map(alone, odd)) if odd else alone(first) + b"".join(map(after_space, rest))
+        """Yield the ids of each text as little-endian unsigned 16-bit bytes. Callers bound the texts' bytes."""
+        cut = [pieces(t or "") for t in texts]
+        wanted = {p for _, rest in cut for p in rest}
+        known = {p: ids for p in wanted if (ids := self.cache.ids.get(p)) is not None}
+        new = self._encoded(list(wanted - known.keys()), " ")
+        self.cache.update(new)
+        first_ids = self._encoded(list({first for first, _ in cut}), "")
+        ids_of = (known | new).__getitem__
+        for first, rest in cut:
+            yield first_ids[first] + b"".join(map(ids_of, rest))
 
 
 @lru_cache(maxsize=1)
@@ -151,39 +138,63 @@ def pair_encoder(path: str) -> PairIndexEncoder:
     return PairIndexEncoder(path)
 
 
+def _ids(enc: PairIndexEncoder, texts: pa.Array) -> list[bytes]:
+    return [np.frombuffer(raw, "<u2").astype("<u4").tobytes() for raw in enc.batch(texts.to_pylist())]
+
+
+def _texts(known: list[bytes], ids: list[bytes | None]) -> pa.Array:
+    return pa.array([b"".join(map(known.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in ids], pa.string())
+
+
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(doc_id, ids): each whole text's ids as little-endian unsigned 32-bit integers. A null or empty text has
-    none. Null and repeated doc_ids stay; other columns are not read."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    none. Null and repeated doc_ids stay; other columns are not read. Texts are taken in slices bounded in bytes;
+    one longer than a slice is taken alone."""
 
     def run(batches):
         enc = pair_encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = [np.frombuffer(raw, "<u2").astype("<u4").tobytes() for raw in enc.batch(part.column(1).to_pylist())]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, 1):
+                yield pa.record_batch([part.column(0), pa.array(_ids(enc, part.column(1)), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return _plain(docs, doc_id, text).mapInArrow(run, with_fields([renamed(docs, doc_id, "doc_id")], ids=T.BinaryType()))
 
 
-def decode(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """Adds `decoded`, the text of `ids`; bytes that aren't UTF-8 become U+FFFD. Null ids give an empty text."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
+def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """The columns of `encoded` and `decoded`, the text of `ids`; bytes that aren't UTF-8 become U+FFFD. Null ids give an
+    empty text. A column that was called `decoded` is replaced."""
+    left = encoded.drop("decoded")
+    at = left.columns.index(ids)
 
     def run(batches):
         known = vocabulary(tokenizer).bytes_of
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [b"".join(map(known.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in part.column("ids").to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            for part in slices(batch, at):
+                yield pa.record_batch([*part.columns, _texts(known, part.column(at).to_pylist())], [*part.schema.names, "decoded"])
+
+    return left.mapInArrow(run, with_fields(left.schema, decoded=T.StringType()))
+
+
+def encode_and_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """(doc_id, ids, decoded): `encode` and then `decode` in one Python stage, so that a task has one worker with one
+    vocabulary."""
+
+    def run(batches):
+        enc, known = pair_encoder(tokenizer), vocabulary(tokenizer).bytes_of
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids = _ids(enc, part.column(1))
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), _texts(known, ids)], ["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, f"{kinds}, decoded string")
+    return _plain(docs, doc_id, text).mapInArrow(run, with_fields([renamed(docs, doc_id, "doc_id")], ids=T.BinaryType(), decoded=T.StringType()))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"))).select(
+    return encode_and_decode(table(spark, sf_dir, "documents")).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tables up to this many rows of a few dozen bytes may be broadcast; callers count them first.
 BROADCAST_ROWS = 20_000
+#: Bytes of text that a Python worker takes in hand at once.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
+    """The folder that driver and executors share. Where none is named, a local session gets one of its own; on a
+    cluster that is an error, since each machine would have another."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -43,8 +52,24 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fields(df: DataFrame, *names: str) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
+def with_fields(fields: Iterable[T.StructField], **more: T.DataType) -> T.StructType:
+    """A schema of these fields and then of new ones; as an object, so that any column name will do."""
+    return T.StructType([*fields, *(T.StructField(n, t) for n, t in more.items())])
+
+
+def renamed(df: DataFrame, name: str, to: str) -> T.StructField:
+    return T.StructField(to, df.schema[name].dataType)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings (or bytes) in `column` have at most `most` bytes together; a longer
+    value is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import table
+from .common import renamed, slices, table, with_fields
 from .tokens import DEFAULT_TOKENIZER, encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -26,7 +27,7 @@ POOL_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
 
-PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long"
+PIECE = StructType.fromDDL("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long")
 
 
 class Packer:
@@ -109,7 +110,7 @@ def pack_documents(
     """
     if list(tiers) != sorted(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are rising powers of two")
-    kind = docs.schema[doc_id].dataType
+    schema = with_fields([renamed(docs, doc_id, "doc_id"), *PIECE])
 
     def run(batches):
         enc, packer = encoder(tokenizer), Packer(tiers, step_tokens, TaskContext.get().partitionId() << 36)
@@ -129,22 +130,24 @@ def pack_documents(
         arrow_id = None
         for batch in batches:
             arrow_id = batch.schema.field(0).type
-            for key, raw in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
-                packer.add((key, len(ids)), ids)
-                if packer.waiting > pool_tokens:
-                    packer.pack(last=False)
-                if len(packer.rows) >= 5000:
-                    yield out()
+            for part in slices(batch, 1):
+                for key, raw in zip(part.column(0).to_pylist(), enc.batch(part.column(1).to_pylist()), strict=True):
+                    ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
+                    packer.add((key, len(ids)), ids)
+                    if packer.waiting > pool_tokens:
+                        packer.pack(last=False)
+                    if len(packer.rows) >= 5000:
+                        yield out()
         if arrow_id is not None:
             packer.pack(last=True)
             yield out()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, {PIECE}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    """The pieces with a checksum of their ids in place of these, or beside them with `more="ids"`."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group", *more)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, written
 from .tokens import DEFAULT_TOKENIZER, encoder
 
 #: Context limits that are always among the answered lengths.
@@ -17,12 +17,13 @@ STRIPE = 1024
 
 
 def token_lengths(docs: DataFrame, text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """n_tokens of each document; a null or empty text has 0. Other columns are not read."""
+    """n_tokens of each document; a null or empty text has 0. Texts of any length are encoded whole; other columns are not read."""
 
     def count(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            yield pa.record_batch([pa.array([len(ids) // 2 for ids in enc.batch(batch.column(0).to_pylist())], pa.int64())], ["n_tokens"])
+            for part in slices(batch, 0):
+                yield pa.record_batch([pa.array([len(ids) // 2 for ids in enc.batch(part.column(0).to_pylist())], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "n_tokens long")
 
@@ -77,4 +78,5 @@ def context_answers(histogram: DataFrame, limits=LIMITS, quantiles=QUANTILES, st
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_answers(length_histogram(table(spark, sf_dir, "documents")))
+    # a few thousand rows, read twice
+    return context_answers(written(length_histogram(table(spark, sf_dir, "documents")), "lengths"))

@@ -22,21 +22,39 @@ try:
 except ImportError:  # the path is then the caller's to give
     DEFAULT_TOKENIZER, WORD_PATTERN = None, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries after which a process drops its cache; about 150 bytes each.
-CACHE_ENTRIES = 600_000
-
 _NEXT_TO_SPACE = [x for c in " \n\t\r\x0b\x0c" for x in (f" {c}", f"{c} ")]
 _RARE_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
-def pieces(text: str) -> tuple[str, list[str], list[str]]:
-    """(first piece, further pieces without their leading space, or else all pieces as they are)."""
+def pieces(text: str) -> tuple[str, list[str]]:
+    """(first piece, further pieces without their leading space)."""
     if not any(x in text for x in _NEXT_TO_SPACE) and (text.isascii() or not _RARE_SPACES.search(text)):
         first, *rest = text.split(" ")
         if not rest or rest[-1]:
-            return first, rest, []
-    return "", [], _CUTS.split(text)
+            return first, rest
+    first, *rest = _CUTS.split(text)
+    return first, [p[1:] for p in rest]
+
+
+class PieceCache:
+    """Ids of pieces, bounded in bytes: when full it starts anew. Long pieces are not kept."""
+
+    #: Letters of a piece that is kept, what an entry costs beside its letters and ids, and bytes of a full cache.
+    LETTERS, ENTRY, FULL = 64, 200, 64 << 20
+
+    def __init__(self, full: int | None = None):
+        self.ids: dict[str, bytes] = {}
+        self.bytes, self.full = 0, full or self.FULL
+
+    def update(self, new: dict[str, bytes]) -> None:
+        kept = {p: ids for p, ids in new.items() if len(p) <= self.LETTERS}
+        self.bytes += sum(self.ENTRY + len(p) + len(ids) for p, ids in kept.items())
+        if self.bytes > self.full:
+            self.ids.clear()
+            self.bytes = 0
+        else:
+            self.ids.update(kept)
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,7 +90,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit bytes, from a cache of pieces."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, full: int | None = None):
         import tiktoken
 
         v = vocabulary(path)
@@ -80,14 +98,14 @@ class Encoder:
             raise ValueError("ids over 65535 don't fit the cache")
         self.bpe = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
         self.lengths = np.array([len(b) for b in v.bytes_of], np.int64)
-        self.cache: dict[str, bytes] = {}
-        self.entries = entries
+        self.cache = PieceCache(full)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.bpe.encode(text, allowed_special="all"), "<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Encode new pieces many at a time; where each ends follows from the byte lengths of the ids."""
+        out = {}
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = np.array(self.bpe.encode(" " + " ".join(part), allowed_special="all"), "<u2")
@@ -96,26 +114,20 @@ class Encoder:
             stops = np.searchsorted(ends, want) + 1
             raw, begin = ids.tobytes(), 0
             for w, stop in zip(part, stops.tolist(), strict=True):
-                self.cache[w] = raw[2 * begin : 2 * stop]
+                out[w] = raw[2 * begin : 2 * stop]
                 begin = stop
+        return out
 
     def batch(self, texts: list[str | None]):
-        """Yield each text's ids as bytes; a null text has none."""
-        for at in range(0, len(texts), 500):  # so that a batch of long texts stays small
-            cut = [pieces(t or "") for t in texts[at : at + 500]]
-            if len(self.cache) > self.entries:
-                self.cache.clear()
-            new: set[str] = set()
-            for _, rest, _ in cut:
-                new.update(rest)
-            new.difference_update(self.cache)
-            self._learn(list(new))
-            ids_of = self.cache.__getitem__
-            for first, rest, odd in cut:
-                if odd:
-                    yield b"".join(map(self._plain, odd))
-                else:
-                    yield (self._plain(first) if first else b"") + b"".join(map(ids_of, rest))
+        """Yield each text's ids as bytes; a null text has none. Callers bound the texts' bytes."""
+        cut = [pieces(t or "") for t in texts]
+        wanted = {p for _, rest in cut for p in rest}
+        known = {p: ids for p in wanted if (ids := self.cache.ids.get(p)) is not None}
+        new = self._encoded(list(wanted - known.keys()))
+        self.cache.update(new)
+        ids_of = (known | new).__getitem__
+        for first, rest in cut:
+            yield (self._plain(first) if first else b"") + b"".join(map(ids_of, rest))
 
 
 @lru_cache(maxsize=1)
