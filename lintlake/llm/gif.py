@@ -17,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, written
+from .common import renamed, slices, table, with_fields, written
 
 WIDTH = 192
 #: Rows of a frame at most; a longer payload has several frames.
 FRAME_ROWS = 512
 DELAY_CS = 10
 MAX_CODES = 4096
+#: Pixels of a screen or frame at most (64 MB with four channels); a header that asks for more is an error.
+MAX_PIXELS = 1 << 24
 
 
 class GifError(ValueError):
@@ -236,6 +239,8 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def _decoded(data: bytes, compose: bool) -> Iterator[Frame]:
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > MAX_PIXELS:
+        raise GifError("the screen is too large")
     shared, at = _palette(data, 13, flags)
     screen = np.zeros((height, width, 4), np.uint8) if compose else None
     delay, disposal, transparent = 0, 0, -1
@@ -254,6 +259,8 @@ def _decoded(data: bytes, compose: bool) -> Iterator[Frame]:
         min_bits = data[at]
         if not 2 <= min_bits <= 8:
             raise GifError("code size")
+        if w * h > MAX_PIXELS:
+            raise GifError("a frame is too large")
         stream, at = _sub_blocks(data, at + 1)
         indices = np.frombuffer(lzw_decode(stream, min_bits, w * h), np.uint8).reshape(h, w)
         if f & 0x40:
@@ -263,7 +270,7 @@ def _decoded(data: bytes, compose: bool) -> Iterator[Frame]:
         shown = None
         if compose:
             colours = own if own is not None else shared if shared is not None else np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
-            before = screen.copy()
+            before = screen.copy() if disposal == 3 else None
             area = screen[top : top + h, left : left + w]
             part = indices[: area.shape[0], : area.shape[1]]
             drawn = part != transparent
@@ -303,31 +310,31 @@ def payload_gif(payload: bytes) -> bytes:
 
 def texts_to_gifs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a GIF, a byte a sample, in frames of 192 columns. Null is empty;
-    nulls and repeats of doc_id stay."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    nulls and repeats of doc_id stay; a text of any length has as many frames as it takes; other columns are not read."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 both = [payload_of(t) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([payload_gif(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, with_fields([renamed(docs, doc_id, "doc_id")], n_bytes=T.LongType(), media=T.BinaryType())
+    )
 
 
 def gif_frames(media: DataFrame, key: str, column: str = "media") -> DataFrame:
     """One row a frame: its time, place, rules and the colour histogram of the screen it leaves. A file that
     isn't a GIF, and a null, give one row with `error` set."""
-    kind = media.schema[key].dataType.simpleString()
-    names = ["key", "frame", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal", "transparent", "histogram", "error"]
-    schema = f"key {kind}, frame int, start_cs long, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, error string"
+    rest = T.StructType.fromDDL("frame int, start_cs long, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, error string")
+    schema = with_fields([renamed(media, key, "key"), *rest])
+    names = schema.names
     types = [None, pa.int32(), pa.int64(), *[pa.int32()] * 7, pa.list_(pa.int64()), pa.string()]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part, rows = batch.slice(at, 100), []
+            for part in slices(batch, 1):
+                rows = []
                 for k, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     try:
                         start, shown = 0, []
@@ -345,8 +352,9 @@ def gif_frames(media: DataFrame, key: str, column: str = "media") -> DataFrame:
 def stored_features(media: DataFrame) -> DataFrame:
     """Reads the stored GIFs of `texts_to_gifs` back: digests of the payload and of the file, and, added up over the
     frames, the colour histograms of the composed screens with the frames and the hundredths of a second they take."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs"]
+    rest = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs long"
+    schema = with_fields([media.schema["doc_id"], *T.StructType.fromDDL(rest)])
+    names = schema.names
 
     def features(n_bytes: int, data: bytes) -> tuple:
         payload, size, tail, colours, n, time = hashlib.sha256(), 0, b"", np.zeros(4**3 + 1, np.int64), 0, 0
@@ -362,14 +370,11 @@ def stored_features(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 2):
                 rows = [features(n, d) for n, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True))], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs long"
-    )
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

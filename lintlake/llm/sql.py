@@ -1,5 +1,10 @@
 """SQL of the queries that SQL can express."""
 
+from .licenses import DRIFT, LOWER, MIN_SHARE, PHRASES, TEMPLATES, UPPER
+from .sharding import SHARD_BYTES
+
+_TEMPLATES = ", ".join(f"({exact}, {n}, '{words}', '{label}')" for n, (exact, (words, label)) in enumerate([("true", x) for x in PHRASES] + [("false", x) for x in TEMPLATES]))
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
@@ -75,5 +80,50 @@ words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS w
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY w) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, w) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op9_sharding": f"""
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    (16 + strlen(coalesce(text, '')) + strlen(coalesce(lang, '')) + strlen(coalesce(source, '')))::BIGINT AS row_bytes,
+    ('0x' || substr(md5(concat_ws(chr(31), coalesce('=' || doc_id, '-'), '=' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
+  FROM documents
+),
+levels AS (SELECT doc_id, n_bytes, row_bytes, h, bits, sum(row_bytes) OVER (PARTITION BY bits, h >> (60 - bits)) AS size FROM d CROSS JOIN (SELECT unnest(range(0, 61)) AS bits)),
+placed AS (SELECT doc_id, n_bytes, row_bytes, h, min(bits)::INT AS depth FROM levels WHERE size <= {SHARD_BYTES} GROUP BY ALL),
+named AS (SELECT doc_id, n_bytes, row_bytes, depth, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard FROM placed)
+SELECT doc_id, n_bytes, row_bytes, shard, depth, 0::BIGINT AS overflow,
+  count(*) OVER (PARTITION BY shard, depth) AS shard_rows, sum(row_bytes) OVER (PARTITION BY shard, depth)::BIGINT AS shard_bytes
+FROM named
+""",
+    "op10_licenses": rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+),
+templates(exact, template, words, label) AS (VALUES {_TEMPLATES}),
+t AS (SELECT *, string_split(words, ' ') AS tw FROM templates),
+grams AS (
+  SELECT template, label, exact, len(tw) - 2 AS grams, i - 1 AS q, array_to_string(tw[i:i + 2], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(tw) - 1)) AS i FROM t)
+),
+rolled AS (SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + 2], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 2)),
+hits AS (SELECT doc_id, template, label, exact, grams, pos, q, pos - q AS diagonal FROM rolled JOIN grams USING (gram)),
+marked AS (
+  SELECT *, (exact OR coalesce(diagonal - lag(diagonal) OVER w > {DRIFT}, true))::INT AS new FROM (SELECT DISTINCT doc_id, template, exact, diagonal FROM hits)
+  WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)
+),
+bands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS band FROM marked),
+spans AS (
+  SELECT doc_id, template, label, exact, grams, band, count(DISTINCT q) AS votes, min(pos) AS first_pos, max(pos) AS last_pos
+  FROM hits JOIN bands USING (doc_id, template, exact, diagonal) GROUP BY ALL
+),
+good AS (SELECT *, votes::DOUBLE / grams AS share FROM spans WHERE CASE WHEN exact THEN votes = grams ELSE votes::DOUBLE / grams >= {MIN_SHARE}::DOUBLE AND last_pos - first_pos + 1 <= 2 * grams END),
+found AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first_pos) FILTER (exact) AS first_word, max(first_pos) FILTER (exact) AS last_word,
+    list_sort(list(DISTINCT label) FILTER (exact)) AS base, list_sort(list(DISTINCT label)) AS every, max(share) AS score
+  FROM good GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(every, ','), '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN found USING (doc_id)
 """,
 }

@@ -20,19 +20,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import join_small_or_shuffled, table, written
-from .words import anchors, chunks, mixed, range_hashes, signed
+from .common import join_small_or_shuffled, renamed, slices, table, with_fields, written
+from .words import anchors, chunks, digest_of, mixed, signed
 
 #: Fixed values of the contract.
 WINDOW = 35
 K = 6
 #: A shard of more distinct pieces than this is split by its windows, one key for each window's words.
 HOT_PIECES = 2000
+#: Pieces that a task remembers to have given, so that it need not give their words again.
+SEEN_PIECES = 1_000_000
 #: Words that a broadcast reference may have, and words of one of its shards.
 BROADCAST_WORDS, SHARD_WORDS = 2_000_000, 100_000
 
 
+RESULT = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType()}
+
+
 class SuffixAutomaton:
     """Of several sequences; `weight` counts the places of each state's strings."""
 
@@ -161,10 +167,15 @@ def _pieces_of_texts(texts: DataFrame, window: int, k: int) -> DataFrame:
                 anchor, first, end = anchor[keep], first[keep], last[keep] + window
                 if not len(anchor):
                     continue
-                piece, row, texts = range_hashes(w.hash, first, end), w.row[first], []
-                for p, b, e in zip(piece.tolist(), first.tolist(), end.tolist(), strict=True):
-                    texts.append(None if p in seen else w.joined(b, e))
-                    seen.add(p)
+                row, piece, texts = w.row[first], [], []
+                if len(seen) > SEEN_PIECES:
+                    seen.clear()
+                for b, e in zip(first.tolist(), end.tolist(), strict=True):
+                    words = w.joined(b, e)
+                    piece.append(digest_of(words))
+                    texts.append(None if piece[-1] in seen else words)
+                    seen.add(piece[-1])
+                piece = np.array(piece, np.uint64)
                 yield pa.record_batch(
                     [keys.take(pa.array(row + at)), pa.array((first - w.first_of_row[row]).astype(np.int32)), signed(anchor), signed(piece), pa.array(texts, pa.binary()).cast(pa.string())],
                     ["key", "first", "anchor", "piece", "text"],
@@ -233,14 +244,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, k:
 def without_spans(rows: DataFrame, spans: DataFrame, as_it_was: bool = False) -> DataFrame:
     """(row, n_words, n_removed, kept) of rows (row, text): the words of `text` outside its spans, joined by one space;
     with `as_it_was` a text that loses no word stays as it was."""
-    kind = rows.schema["row"].dataType.simpleString()
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = rows.select("row", F.unhex(F.md5(t)).alias("key"), t.alias("text")).join(spans.hint("merge"), "key", "left").select("row", "text", F.col("spans.b").alias("b"), F.col("spans.e").alias("e"))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 rows = []
                 for t, b, e in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in "be"), strict=True):
                     words = t.split()
@@ -254,7 +263,7 @@ def without_spans(rows: DataFrame, spans: DataFrame, as_it_was: bool = False) ->
                 n, removed, kept = ([r[c] for r in rows] for c in range(3))
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, with_fields([rows.schema["row"]], **RESULT))
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
@@ -293,7 +302,6 @@ def strip_reference(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id
         shards[-1].add(words)
         size += len(words)
     sent = spark.sparkContext.broadcast(shards)
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -308,7 +316,7 @@ def strip_reference(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id
                 rows.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()))
             yield pa.record_batch([batch.column(0), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, with_fields([renamed(docs, doc_id, "doc_id")], **RESULT))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

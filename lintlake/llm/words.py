@@ -6,8 +6,8 @@ as one array of bytes, so the cost of a call is spread over many texts.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,6 @@ import pyarrow as pa
 #: Bytes of text looked at together; a longer text is looked at alone.
 CHUNK_BYTES = 1 << 20
 
-_M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
-_M_INVERSE = pow(_M, -1, 1 << 64)
 _POSITION_BITS = 24
 #: Windows that are looked at together; positions must fit beside hashes.
 _STRETCH = 1 << 22
@@ -31,16 +29,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M))
-
-
-@lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> np.ndarray:
-    return np.cumprod(np.append(np.uint64(1), np.full(size, base, np.uint64)), dtype=np.uint64)
-
-
-def _up_to(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(12, int(n).bit_length()))
+#: Added to a value by its place before both are mixed: without the mixing between, long words or runs of words could
+#: be built that share a sum.
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass
@@ -87,7 +79,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
         return Words(data, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     start = np.cumsum(size) - size
     within = np.arange(int(size.sum())) - np.repeat(start, size)
-    sums = np.add.reduceat(_OF_BYTE[data[inside]] * _up_to(_M, size.max())[within], start)
+    sums = np.add.reduceat(mixed(_OF_BYTE[data[inside]] + within.astype(np.uint64) * _PLACE), start)
     first_of_row = np.searchsorted(begin, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first_of_row))
     return Words(data, begin, end, row, mixed(sums + size.astype(np.uint64)), first_of_row)
@@ -98,18 +90,10 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    done, width, out, power = 0, 1, None, _M  # runs of 1, 2, 4, ... words, put together by the bits of k
-    run = hashes
-    while True:
-        if k & width:
-            piece = run[done : done + n]
-            out = piece if out is None else out * np.uint64(power) + piece
-            done += width
-        if done == k:
-            return mixed(out)
-        run = run[:-width] * np.uint64(power) + run[width:]
-        power = power * power & 0xFFFFFFFFFFFFFFFF
-        width *= 2
+    out = np.zeros(n, np.uint64)
+    for i, place in enumerate(np.arange(k, dtype=np.uint64) * _PLACE):
+        out += mixed(hashes[i : i + n] + place)
+    return mixed(out)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -143,10 +127,9 @@ def anchors(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def range_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words from `first` up to, without, `end`."""
-    sums = np.append(np.uint64(0), np.cumsum(hashes * _up_to(_M, len(hashes))[: len(hashes)], dtype=np.uint64))
-    return mixed((sums[end] - sums[first]) * _up_to(_M_INVERSE, len(hashes))[first] + (end - first).astype(np.uint64))
+def digest_of(words: bytes) -> int:
+    """64 bits of a run of words, joined."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little")
 
 
 def signed(x: np.ndarray) -> pa.Array:
