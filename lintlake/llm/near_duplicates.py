@@ -1,11 +1,12 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each different text has a signature in every tree of the forest; a tree is the texts in the order of their
-signatures, so texts that share a prefix stand side by side, like the subtree of a prefix trie. The prefix
-that makes two texts candidates is shortened from the whole signature until the expected recall at the
-threshold reaches the target. Texts under one prefix are linked to the first of them, not to each other;
-the components of these links are then verified exactly: every two texts of a component are compared by
-their whole shingle sets, in blocks, so no link between texts that met in any tree is lost.
+signatures, so texts that share a prefix stand side by side, like the subtree of a prefix trie. The matching
+starts with the longest prefix. Under each prefix a text is linked to the leaders there whose whole signature is alike;
+from the links' similarities follows which share of alike pairs can have met at that length, and the prefix is
+shortened by one until this share reaches the target recall. Links of unlike signatures are dropped at once, so
+unlike texts don't chain. What is connected is then verified exactly: every two texts of a component are
+compared by their whole shingle sets, in blocks, so no link between texts that met in any tree is lost.
 """
 
 from __future__ import annotations
@@ -22,19 +23,22 @@ from .words import Words, chunks, grams, mixed
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, SIGNATURE = 24, 8
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.9995
+#: Standard errors by which a similarity that is read off signatures may lie below the true one.
+SLACK = 5.0
+#: Texts whose words a task remembers to have given.
+SEEN_TEXTS = 500_000
 #: Texts of a block; two blocks are compared in one task.
 BLOCK = 256
+#: Tasks that the texts of one class are dealt to when they are given its id.
+CLASS_SALTS = 32
 #: Columns of a block's shingle matrix that are held at once.
 MATRIX_COLUMNS = 8192
 
 
-def prefix_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, signature: int = SIGNATURE) -> int:
-    """The longest prefix at which pairs at the threshold meet in some tree with this probability."""
-    for depth in range(signature, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    raise ValueError("too few trees for this recall")
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that two texts of this similarity share a prefix of `depth` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +90,8 @@ def _once_a_task(keyed: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
             new = []
             for k in batch.column(0).to_pylist():
                 new.append(k not in seen)
@@ -96,11 +102,14 @@ def _once_a_task(keyed: DataFrame) -> DataFrame:
 
 
 def forest(keyed: DataFrame, shingle: int, trees: int, signature: int) -> DataFrame:
-    """(tree, signature, key) of each text with a word; a task gives a text once."""
+    """(tree, signature, bits, key) of each text with a word; a task gives a text once. `bits` has a bit of each value of all
+    trees, from which similarities are read."""
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
             keys = batch.column(0).to_pylist()
             for at, w in chunks(batch.column(1)):
                 h, row = shingles(w, shingle)
@@ -111,58 +120,143 @@ def forest(keyed: DataFrame, shingle: int, trees: int, signature: int) -> DataFr
                 seen.update(keys[rows[i] + at] for i in new)
                 if not new:
                     continue
-                cut = values[new].astype(">u2").reshape(-1, signature)
-                raw = cut.tobytes()
-                width = 2 * signature
+                raw, width = values[new].astype(">u2").tobytes(), 2 * signature
+                bits = pa.array([x.tobytes() for x in _bits(values[new])], pa.binary())
+                each = pa.array(np.repeat(np.arange(len(new)), trees))
                 yield pa.record_batch(
                     [
                         pa.array(np.tile(np.arange(trees, dtype=np.int32), len(new))),
                         pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()),
+                        bits.take(each),
                         batch.column(0).take(pa.array(np.repeat(rows[new] + at, trees))),
                     ],
-                    ["tree", "signature", "key"],
+                    ["tree", "signature", "bits", "key"],
                 )
 
-    return keyed.mapInArrow(run, "tree int, signature binary, key binary")
-
-
-def prefix_links(trees: DataFrame, depth: int) -> DataFrame:
-    """(a, b): links of each text to the first one under its prefix, in the order of each tree.
-
-    The order is dealt out by ranges of (tree, signature, key), so a prefix that many texts share is cut anywhere;
-    what a range begins and ends with is linked up afterwards (two rows for each task).
+    return keyed.mapInArrow(run, "tree int, signature binary, bits binary, key binary")
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """The low bits of each row's values as 64-bit words."""
+    packed = np.packbits((values & 1).astype(bool), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+class Leaders:
+    """The texts of one prefix, one by one. One that is near no leader before it becomes a leader; each is linked to the
+    leader nearest to it and to those within `far` that aren't connected yet."""
+
+    def __init__(self, hashes: int, near: float, far: float):
+        self.hashes, self.near, self.far = hashes, near, far
+
+    def start(self, key: bytes, bits: bytes) -> None:
+        self.keys, self.raw, self.of = [key], [bits], [0]
+        self.matrix = None  # most prefixes have one text
+
+    def add(self, key: bytes, bits: bytes) -> list[tuple[bytes, bytes, float]]:
+        n, own = len(self.keys), np.frombuffer(bits, np.uint64)
+        if self.matrix is None or n > len(self.matrix):
+            self.matrix = np.zeros((max(4, 2 * n), len(own)), np.uint64)
+            self.matrix[:n] = np.frombuffer(b"".join(self.raw), np.uint64).reshape(n, -1)
+        similar = 1 - 2 * np.bitwise_count(self.matrix[:n] ^ own).sum(1) / self.hashes
+        close = np.flatnonzero(similar >= self.far)
+        links, joined = [], set()
+        for i in close[np.argsort(-similar[close], kind="stable")].tolist():
+            if self.of[i] not in joined:
+                joined.add(self.of[i])
+                if self.keys[i] != key:
+                    links.append((self.keys[i], key, float(similar[i])))
+        if len(joined) > 1:
+            least = min(joined)
+            self.of = [least if x in joined else x for x in self.of]
+        if similar.max() < self.near:
+            self.keys.append(key)
+            self.raw.append(bits)
+            self.of.append(min(joined) if joined else max(self.of) + 1)
+            if n < len(self.matrix):
+                self.matrix[n] = own
+            else:
+                self.matrix = None
+        return links
+
+
+def prefix_links(trees: DataFrame, depth: int, threshold: float, hashes: int) -> DataFrame:
+    """(a, b, similarity): links of each text to leaders under its prefix, in the order of each tree.
+
+    A text that is alike to no leader before it becomes one. A text is connected to every leader that could be near a text
+    alike to it: distance is a metric, so where two texts are alike, one of them is within twice the distance of the
+    other's leader. Similarities are read off the signatures' bits, with some slack.
+
+    The order is dealt out by ranges of (tree, signature, key), so a prefix that many texts share is cut anywhere; the
+    leaders of the first and last prefix of each range are then linked in the same way.
     """
     ranged = trees.repartitionByRange("tree", "signature", "key").sortWithinPartitions("tree", "signature", "key")
-    width = 2 * depth
-
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        group, head, last = None, None, None
-        for batch in batches:
-            a, b = [], []
-            for t, s, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                here = (t, s[:width])
-                if here != group:
-                    if group is None:
-                        yield pa.record_batch([pa.array([k]), pa.array([None], pa.binary()), pa.array([2 * part], pa.int64()), pa.array([t], pa.int32()), pa.array([here[1]])], names)
-                    group, head = here, k
-                elif k != head:
-                    a.append(head)
-                    b.append(k)
-                last = head
-            if a:
-                n = len(a)
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        if group is not None:
-            yield pa.record_batch([pa.array([last]), pa.array([None], pa.binary()), pa.array([2 * part + 1], pa.int64()), pa.array([group[0]], pa.int32()), pa.array([group[1]])], names)
-
-    names = ["a", "b", "edge", "tree", "prefix"]
-    found = written(ranged.mapInArrow(run, "a binary, b binary, edge long, tree int, prefix binary"), "links")
-    order = Window.orderBy("edge")  # two rows for each task
-    ends = found.filter("edge is not null").select(
-        F.lag("a").over(order).alias("a"), F.col("a").alias("b"), (F.lag("tree").over(order) == F.col("tree")).alias("t"), (F.lag("prefix").over(order) == F.col("prefix")).alias("p")
-    )
-    return found.filter("edge is null").select("a", "b").unionByName(ends.filter("t and p and a != b").select("a", "b")).distinct()
+    width, apart = 2 * depth, 1 - threshold
+
+    def beyond(distance: float) -> float:
+        """The least similarity that may be read off where the distance is this or less."""
+        same = 1 - distance / 2
+        return 1 - distance - SLACK * 2 * (same * (1 - same) / hashes) ** 0.5
+
+    names, schema = ["a", "b", "similarity", "tree", "prefix", "bits"], "a binary, b binary, similarity double, tree int, prefix binary, bits binary"
+    types = [pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def linked(far: float, ends: bool):
+        def run(batches):
+            leaders, group, first = Leaders(hashes, threshold, far), None, True
+            rows: list[tuple] = []
+
+            def end() -> None:
+                rows.extend((k, None, None, group[0], group[1], w) for k, w in zip(leaders.keys, leaders.raw, strict=True))
+
+            def out() -> pa.RecordBatch:
+                done = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
+                rows.clear()
+                return done
+
+            for batch in batches:
+                for t, s, w, k in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    here = (t, s[:width])
+                    if here == group:
+                        rows += [(a, b, x, None, None, None) for a, b, x in leaders.add(k, w)]
+                        continue
+                    if ends and group is not None and first:
+                        end()
+                        first = False
+                    group = here
+                    leaders.start(k, w)
+                if len(rows) > 5000:
+                    yield out()
+            if ends and group is not None:
+                end()
+            yield out()
+
+        return run
+
+    found = written(ranged.mapInArrow(linked(beyond(2 * apart), True), schema), "links")
+    # a leader of a range stands for texts near it, so between leaders the distance may be twice as much again
+    ends = found.filter("prefix is not null").select("tree", F.col("prefix").alias("signature"), "bits", F.col("a").alias("key"))
+    across = ends.repartition("tree", "signature").sortWithinPartitions("tree", "signature", "key").mapInArrow(linked(beyond(4 * apart), False), schema)
+    links = found.filter("prefix is null").unionByName(across).filter("a != b")
+    return links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def estimated_recall(links: DataFrame, depth: int, threshold: float, trees: int) -> float:
+    """The share of alike pairs that have met at this depth, from the links that did: one of similarity s stands for
+    1 / met(s) pairs. A link's similarity is no less than the threshold here."""
+    s = F.greatest(F.col("similarity"), F.lit(threshold))
+    p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(trees))
+    n, pairs = links.filter(F.col("similarity") >= threshold).agg(F.count("*"), F.sum(1 / p)).first()
+    return n / pairs if n else 1.0
+
+
+def candidate_links(trees_: DataFrame, threshold: float, trees: int, signature: int, target: float) -> DataFrame:
+    """`prefix_links` at the longest prefix whose estimated recall reaches the target."""
+    for depth in range(signature, 0, -1):
+        links = written(prefix_links(trees_, depth, threshold, trees * signature), "candidates")
+        if depth == 1 or estimated_recall(links, depth, threshold, trees) >= target:
+            return links
+    raise ValueError("a signature has one value or more")
 
 
 def _shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
@@ -266,12 +360,11 @@ def near_duplicates(
     Words are taken as they stand. Documents without words (null, empty or blank) are alike to none, not even to each
     other: class_id is their own doc_id. Null and repeated doc_ids stay; a class without any id has a null class_id.
     """
-    depth = prefix_for(target_recall, threshold, trees, signature)
     keyed = _keyed(docs, text)
     copies = docs.select(F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("key"), F.col(doc_id).alias("doc_id"))
     texts = written(copies.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "texts")
-    candidates = components(prefix_links(written(forest(keyed, shingle, trees, signature), "forest"), depth))
-    candidates = written(candidates, "candidates")
+    links = candidate_links(written(forest(keyed, shingle, trees, signature), "forest"), threshold, trees, signature, target_recall)
+    candidates = written(components(links.select("a", "b")), "components")
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
     members = candidates.join(sizes.hint("merge"), "root").join(texts.hint("merge"), F.col("node") == F.col("key")).select("key", "root", "size", "copies")
     # each text once, from whichever of its copies comes first
@@ -279,10 +372,14 @@ def near_duplicates(
     found = written(_verified(_shingle_sets(with_text, shingle), threshold, block), "verified")
     classes = components(found.select(F.col("key").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    known = texts.join(classes.hint("merge"), "key", "left").join(links.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = written(known, "known")
-    named = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_text = known.join(named.hint("merge"), "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = classes.join(links.hint("merge"), "key")
+    known = written(texts.join(linked.hint("merge"), "key", "left"), "known")
+    # a class of many texts is met in several tasks, each with a copy of its one row
+    named = known.filter("root is not null").groupBy("root").agg(F.min("least").alias("class_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))))
+    several = known.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(CLASS_SALTS)).cast("int")).join(named.hint("merge"), ["root", "salt"])
+    per_text = several.select("key", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")).unionByName(
+        known.filter("root is null").select("key", F.col("key").alias("root"), F.col("least").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
+    )
     blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("key"), blank.alias("blank"))
     return own.join(per_text.hint("merge"), "key").select(
