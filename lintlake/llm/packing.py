@@ -27,7 +27,7 @@ POOL_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
 
-PIECE = StructType.fromDDL("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long")
+PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
 class Packer:
@@ -110,7 +110,7 @@ def pack_documents(
     """
     if list(tiers) != sorted(tiers) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are rising powers of two")
-    schema = with_fields([renamed(docs, doc_id, "doc_id"), *PIECE])
+    schema = with_fields([renamed(docs, doc_id, "doc_id"), *StructType.fromDDL(PIECE)])
 
     def run(batches):
         enc, packer = encoder(tokenizer), Packer(tiers, step_tokens, TaskContext.get().partitionId() << 36)
