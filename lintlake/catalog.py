@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lintlake.plans import code, corpus, texts, warehouse
+from lintlake.plans import code, corpus, rules, texts, warehouse
 
-_PLANS = (code, corpus, texts, warehouse)
+_PLANS = (code, corpus, rules, texts, warehouse)
 
 
 def queries() -> dict:

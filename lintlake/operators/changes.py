@@ -14,6 +14,17 @@ def compare_fingerprints(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return c.join(b, "fingerprint", "full_outer").select("fingerprint", F.coalesce("now", "then").alias("severity"), status.alias("status"))
 
 
+def compare_marked(findings: DataFrame, now: str, before: str) -> DataFrame:
+    """(fingerprint, rule_id, severity, status) like `compare_fingerprints`, from one table in which the boolean columns `now` and
+    `before` say which of two scans have a finding: one pass, one grouping. A fingerprint belongs to one rule."""
+    in_now, in_before = F.coalesce(F.col(now), F.lit(False)), F.coalesce(F.col(before), F.lit(False))
+    both = findings.filter(in_now | in_before).groupBy("fingerprint").agg(
+        F.min("rule_id").alias("rule_id"), F.min(F.when(in_now, F.col("severity"))).alias("now"), F.min(F.when(in_before, F.col("severity"))).alias("then")
+    )
+    status = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "resolved").otherwise("unchanged")
+    return both.select("fingerprint", "rule_id", F.coalesce("now", "then").alias("severity"), status.alias("status"))
+
+
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     """(path, change) from (path, hash) of two inventories."""
     b = before.select("path", F.col("hash").alias("old"))

@@ -35,22 +35,20 @@ def lines_of(sources: DataFrame) -> DataFrame:
 
 
 def scan_lines(sources: DataFrame, rules: list[LineRule]) -> DataFrame:
-    """Findings of all rules in one pass over the lines: for each line and rule the first match. The whole line is
-    searched, only the stored match is cut; the whole scan is one projection, so no row is shuffled."""
-    line = F.col("content")
-    hits = F.array(
+    """Findings of all rules in one pass over the lines: for each line and rule the first match, which must not be empty. The
+    whole line is searched, once for each rule; only the stored match is cut. The scan is one projection, so no row is shuffled."""
+    matches = F.array(*(F.regexp_extract("content", r.pattern, 0) for r in rules))
+    hits = F.filter(F.transform(matches, lambda m, n: F.struct(n.alias("rule_ord"), F.substring(m, 1, MAX_MATCH).alias("context"))), lambda x: x["context"] != "")
+    marks = F.array(
         *(
-            F.when(
-                line.rlike(r.pattern),
-                F.struct(
-                    F.lit(n).alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title or r.rule_id).alias("title"), F.lit(r.category).alias("category"),
-                    F.lit(r.severity).alias("severity"), F.lit(r.classification).alias("classification"), F.lit(r.confidence).alias("confidence"),
-                    F.lit(r.score_impact).alias("score_impact"), F.lit(r.overlap_group).alias("overlap_group"), F.lit(r.overlap_rank).alias("overlap_rank"),
-                    F.substring(F.regexp_extract(line, r.pattern, 0), 1, MAX_MATCH).alias("context"),
-                ),
+            F.struct(
+                F.lit(r.rule_id).alias("rule_id"), F.lit(r.title or r.rule_id).alias("title"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
+                F.lit(r.classification).alias("classification"), F.lit(r.confidence).alias("confidence"), F.lit(r.score_impact).alias("score_impact"),
+                F.lit(r.overlap_group).alias("overlap_group"), F.lit(r.overlap_rank).alias("overlap_rank"),
             )
-            for n, r in enumerate(rules)
+            for r in rules
         )
     )
-    found = lines_of(sources).select(F.col("path").alias("file"), "line", F.explode(F.array_compact(hits)).alias("x")).select("file", "line", "x.*")
-    return found.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("context"), F.col("title")))
+    found = lines_of(sources).select(F.col("path").alias("file"), "line", F.explode(hits).alias("x"))
+    marked = found.select("file", "line", "x.rule_ord", F.element_at(marks, F.col("x.rule_ord") + 1).alias("m"), "x.context").select("file", "line", "rule_ord", "m.*", "context")
+    return marked.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("context"), F.col("title")))

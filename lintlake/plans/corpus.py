@@ -16,7 +16,7 @@ RULES = [
     findings.LineRule("card-number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "security", "high", "defect", 0.9, 0, "Card number"),
     findings.LineRule("license-line", r"(Licensed|Released) under", "maintainability", "info", "advisory", 0.8, 0, "License line"),
     findings.LineRule("shouting", r"!!", "validation", "low", "advisory", 0.6, 0, "Shouting"),
-    findings.LineRule("long-line", r"^.{240}", "complexity", "low", "risk", 0.5, 0, "Long line"),
+    findings.LineRule("long-line", r"^.{241}", "complexity", "low", "risk", 0.5, 0, "Long line"),
 ]
 CATEGORIES = ["security", "maintainability", "validation", "complexity", "performance"]
 
@@ -30,19 +30,15 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.scan_lines(sources(spark, sf_dir), RULES)
 
 
-#: The SQL cuts lines to 240 characters before it matches; it is left as it was, with the pattern that goes with the cut.
-_CUT_PATTERN = {"long-line": r"^.{240}$"}
-
-
 def _rule_sql(n: int, r: findings.LineRule) -> str:
-    pattern = _CUT_PATTERN.get(r.rule_id, r.pattern)
+    pattern = r.pattern
     return f"""SELECT file, line, {n} AS rule_ord, '{r.rule_id}' AS rule_id, '{r.title}' AS title, '{r.category}' AS category, '{r.severity}' AS severity,
   '{r.classification}' AS classification, {r.confidence}::DOUBLE AS confidence, {r.score_impact} AS score_impact, '{r.overlap_group}' AS overlap_group, {r.overlap_rank} AS overlap_rank,
   substr(regexp_extract(content, '{pattern}'), 1, 120) AS context FROM lines WHERE regexp_matches(content, '{pattern}')"""
 
 
 LINES_SQL = """lines AS (
-  SELECT 'doc/' || doc_id || '.' || lang AS file, i AS line, substr(l, 1, 240) AS content
+  SELECT 'doc/' || doc_id || '.' || lang AS file, i AS line, l AS content
   FROM (SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
 )"""
 FOUND_SQL = (
@@ -146,30 +142,32 @@ def hotspots_topk(s, d):
     return found(s, d).groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("n_rules")).orderBy(F.desc("n"), F.desc("n_rules"), "file").limit(10)
 
 
-def _two_scans(s, d):
-    f = found(s, d)
+def _marked(s, d):
+    """One scan of findings that stands for two: each leaves out the documents of another last digit."""
     number = F.regexp_extract("file", r"doc/(\d+)", 1).cast("long")
-    return f.filter(number % 10 != 0), f.filter(number % 10 != 1)
+    return found(s, d).withColumn("now", number % 10 != 0).withColumn("before", number % 10 != 1)
+
+
+def _diff(s, d):
+    return changes.compare_marked(_marked(s, d), "now", "before")
 
 
 def baseline_diff(s, d):
-    return changes.compare_fingerprints(*_two_scans(s, d))
+    return _diff(s, d).select("fingerprint", "severity", "status")
 
 
 def baseline_severity_counts(s, d):
-    return baseline_diff(s, d).groupBy("status", "severity").agg(F.count("*").alias("n"))
+    return _diff(s, d).groupBy("status", "severity").agg(F.count("*").alias("n"))
 
 
 def pr_gate(s, d):
-    new = baseline_diff(s, d).filter("status = 'new'").select("fingerprint")
-    mine = _two_scans(s, d)[0].join(new, "fingerprint", "left_semi")
-    return mine.groupBy("rule_id", "severity").agg(F.countDistinct("fingerprint").alias("n_new"), F.max((F.col("severity").isin("critical", "high")).cast("int")).alias("blocks"))
+    new = _diff(s, d).filter("status = 'new'")
+    return new.groupBy("rule_id", "severity").agg(F.count("*").alias("n_new"), F.max((F.col("severity").isin("critical", "high")).cast("int")).alias("blocks"))
 
 
 def rescan_deltas(s, d):
-    now, before = _two_scans(s, d)
-    a, b = now.groupBy("severity").agg(F.count("*").alias("now")), before.groupBy("severity").agg(F.count("*").alias("before"))
-    return a.join(b, "severity", "full_outer").na.fill(0).withColumn("delta", F.col("now") - F.col("before"))
+    counts = _marked(s, d).groupBy("severity").agg(F.count_if("now").alias("now"), F.count_if("before").alias("before"))
+    return counts.withColumn("delta", F.col("now") - F.col("before"))
 
 
 def sarif_rules_first(s, d):
@@ -190,22 +188,22 @@ _IMPACT, _RISK = _case("severity", scoring.IMPACT, "0.2"), _case("classification
 
 SQL = {
     "line_regex_scan": f"WITH {FOUND_SQL} SELECT file, line, rule_id, context, severity, fingerprint FROM found",
-    "secret_lines": f"""WITH {LINES_SQL.replace("substr(l, 1, 240)", "l")}
+    "secret_lines": f"""WITH {LINES_SQL}
 SELECT file AS path, line, regexp_extract(content, '[0-9a-f]{{40}}') AS token FROM lines WHERE contains(content, 'token') AND regexp_matches(content, '[0-9a-f]{{40}}')""",
     "confidence_filter": f"""WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found
 WHERE confidence + 1e-9 >= CASE WHEN rule_id = 'shouting' THEN 0.6 ELSE 0.65 + CASE classification WHEN 'risk' THEN 0.02 WHEN 'advisory' THEN 0.05 ELSE 0 END END""",
     "band_suppression": f"""WITH {FOUND_SQL},
-m AS (SELECT file, line, line % 2 = 0 AS nxt FROM ({LINES_SQL[len("lines AS ("):-1].replace("substr(l, 1, 240)", "l")}) WHERE regexp_matches(content, '(Licensed|Released) under'))
+m AS (SELECT file, line, line % 2 = 0 AS nxt FROM ({LINES_SQL[len("lines AS ("):-1]}) WHERE regexp_matches(content, '(Licensed|Released) under'))
 SELECT {_COLUMNS} FROM found f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND CASE WHEN nxt THEN f.line = m.line + 1 ELSE f.line BETWEEN m.line AND m.line + 2 END)""",
     "glob_suppression": f"""WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found
 WHERE NOT (rule_id = 'ip-address' AND file ILIKE 'doc/1%.en') AND NOT (file ILIKE 'doc/%.fr' AND line BETWEEN 1 AND 3)""",
     "overlap_dedupe": f"""WITH {FOUND_SQL},
 g AS (
-  SELECT *, row_number() OVER (PARTITION BY overlap_group, file, line ORDER BY overlap_rank DESC, {_CLS} DESC, {_SEV} DESC, confidence DESC, score_impact DESC, rule_ord) AS n,
-    list(rule_id) OVER (PARTITION BY overlap_group, file, line) AS rules FROM found WHERE overlap_group <> ''
+  SELECT *, row_number() OVER (PARTITION BY overlap_group, context ORDER BY overlap_rank DESC, {_CLS} DESC, {_SEV} DESC, confidence DESC, score_impact DESC, rule_ord, file, line) AS n,
+    list(rule_id) OVER (PARTITION BY overlap_group, context) AS rules FROM found WHERE overlap_group <> '' AND context <> ''
 )
 SELECT {_COLUMNS}, array_to_string(list_sort(list_distinct(list_filter(rules, lambda r: r <> rule_id))), ',') AS suppressed FROM g WHERE n = 1
-UNION ALL SELECT {_COLUMNS}, '' FROM found WHERE overlap_group = ''""",
+UNION ALL SELECT {_COLUMNS}, '' FROM found WHERE overlap_group = '' OR context = ''""",
     "semi_changed": f"""WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found
 WHERE file IN (SELECT 'doc/' || doc_id || '.' || lang FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id))""",
     "category_score": f"WITH {FOUND_SQL}, {_SCORES_SQL} SELECT * FROM scores",

@@ -5,7 +5,6 @@ import pytest
 
 import __spark_entry__ as entry
 from lintlake import catalog
-from lintlake.plans import corpus
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,17 +37,6 @@ def test_equals_sql(spark, small, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in answer.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(corpus.SQL))
-def test_findings_equal_sql_over_whole_lines(spark, small, duck, name):
-    sql = catalog.oracle_sql()[name].replace("substr(l, 1, 240)", "l").replace("^.{240}$", "^.{240}")
-    df = catalog.queries()[name](spark, small)
-    names = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
-    answer = duck.sql(sql)
-    at = [answer.columns.index(c) for c in names]
-    assert got == sorted((tuple(plain(r[i]) for i in at) for r in answer.fetchall()), key=repr)
-
-
 def test_every_query_has_sql():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
