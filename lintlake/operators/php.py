@@ -95,7 +95,7 @@ def _statements(path: str, text: str) -> Iterator[tuple]:
             yield path, bisect_right(starts, m.start()), text[m.start() : end], [head for _, head in groups]
 
 
-def _each_file(sources: DataFrame, rows, schema: str, flush: int = 2000) -> DataFrame:
+def each_file(sources: DataFrame, rows, schema: str, flush: int = 2000) -> DataFrame:
     """What `rows` gives for each file; a task holds about `flush` rows before it passes them on."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -116,7 +116,7 @@ def _each_file(sources: DataFrame, rows, schema: str, flush: int = 2000) -> Data
 def declarations(sources: DataFrame) -> DataFrame:
     """A row for each named class, interface, trait, enum and function, with its head, body and lines; `owner` is the
     class around it, `quiet` the body without comments and strings."""
-    return _each_file(sources, _declared, DECLARATIONS)
+    return each_file(sources, _declared, DECLARATIONS)
 
 
 def namespaces(sources: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def dependencies(classes_: DataFrame, methods_: DataFrame) -> DataFrame:
 
 def routes(sources: DataFrame) -> DataFrame:
     """(path, line, verb, uri, controller, action, middleware, is_closure): groups around a route lend it prefix and middleware."""
-    s = _each_file(sources, _statements, STATEMENTS)
+    s = each_file(sources, _statements, STATEMENTS)
     quoted = lambda text, call: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"{call}\(\s*(\[[^\]]*\]|'[^']*')"), 1), lambda x: F.regexp_extract_all(x, F.lit("'([^']*)'"), 1)))
     prefixes = F.flatten(F.transform("heads", lambda h: quoted(h, r"\bprefix")))
     verb = F.regexp_extract("statement", rf"(?:Route::|->)({VERBS})\s*\(", 1)

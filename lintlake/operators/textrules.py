@@ -237,6 +237,20 @@ RULES = [
     TextRule("unhandled-promise-in-handler", "react_best_practice", "high", "risk", 0.86, "jsx", r"(onClick|onSubmit)=\{\s*async\s*[^}]*await\b", (_X, "<b onClick={async () => { await save() }} />"), (_X, "<b onClick={async () => { try { await save() } catch (e) {} }} />"), skip=r"catch"),
     TextRule("missing-list-virtualization", "performance", "high", "advisory", 0.6, "jsx", r"\{\s*(rows|records|allItems|results)\.map\(", (_X, "{rows.map(r => <A key={r.id} />)}"), (_X, "import { FixedSizeList } from 'react-window'\n{rows.map(r => 1)}"), unless=r"react-window|react-virtual|virtuoso|slice\("),
     TextRule("hardcoded-user-facing-strings", "react_best_practice", "medium", "advisory", 0.72, "jsx", r">\s*[A-Z][a-z]+(\s+[a-z]+){2,}[.!?]?\s*<", (_X, "<p>Please enter your name</p>"), (_X, "<p>{t('name')}</p>"), skip=r"\bt\(|Trans"),
+    TextRule("lazy-without-suspense", "react_best_practice", "high", "risk", 0.9, "jsx", r"\blazy\(\s*\(\)\s*=>\s*import\(", (_X, "const A = lazy(() => import('./A'))"), (_X, "const A = lazy(() => import('./A'))\n<Suspense fallback={x}><A /></Suspense>"), unless=r"<(React\.)?Suspense\b"),
+    TextRule("no-direct-useeffect", "react_best_practice", "medium", "advisory", 0.96, "jsx", r"\buseEffect\s*\(", (_X, "useEffect(f, [])"), (_X, "useMount(f)"), skip=r"import\s"),
+    TextRule("avoid-props-to-state-copy", "react_best_practice", "medium", "risk", 0.88, "jsx", r"useState(<[^>]*>)?\(\s*props\.\w+\s*\)", (_X, "const [a, setA] = useState(props.a)"), (_X, "const [a, setA] = useState(0)")),
+    TextRule("props-state-sync-effect-smell", "react_best_practice", "medium", "risk", 0.86, "jsx", r"useEffect\(\s*\(\)\s*=>\s*\{?\s*set\w+\(\s*props\.\w+\s*\)", (_X, "useEffect(() => { setA(props.a) }, [props.a])"), (_X, "useEffect(() => { log(props.a) }, [props.a])"), whole=True),
+    TextRule("usememo-overuse", "react_best_practice", "low", "advisory", 0.83, "jsx", r"useMemo\(\s*\(\)\s*=>\s*[\w.]+(\s*[-+*/]\s*[\w.]+)?\s*,", (_X, "const a = useMemo(() => b + 1, [b])"), (_X, "const a = useMemo(() => rows.filter(f).sort(g), [rows])")),
+    TextRule("usecallback-overuse", "react_best_practice", "low", "advisory", 0.81, "jsx", r"useCallback\(\s*\(\)\s*=>\s*set\w+\([^()]*\)\s*,\s*\[\s*\]\s*\)", (_X, "const f = useCallback(() => setOpen(true), [])"), (_X, "const f = useCallback(() => save(form), [form])")),
+    TextRule("stale-closure-in-timer", "react_best_practice", "medium", "risk", 0.88, "jsx", r"useEffect\([^;]*set(Interval|Timeout)\([^;]*set\w+\(\s*\w+\s*[-+]\s*\d+\s*\).*?,\s*\[\s*\]\s*\)", (_X, "useEffect(() => { setInterval(() => setN(n + 1), 9) }, [])"), (_X, "useEffect(() => { setInterval(() => setN(x => x + 1), 9) }, [])"), whole=True),
+    TextRule("stale-closure-in-listener", "react_best_practice", "medium", "risk", 0.86, "jsx", r"useEffect\([^;]*addEventListener\([^;]*set\w+\(\s*\w+\s*[-+]\s*\d+\s*\).*?,\s*\[\s*\]\s*\)", (_X, "useEffect(() => { w.addEventListener('a', () => setN(n + 1)) }, [])"), (_X, "useEffect(() => { w.addEventListener('a', () => setN(x => x + 1)) }, [])"), whole=True),
+    TextRule("missing-loading-state", "react_best_practice", "low", "advisory", 0.72, "pages", r"\b(useQuery|useSWR|fetch)\(", (_G, "const { data } = useQuery(q)"), (_G, "const { data, isLoading } = useQuery(q)"), unless=r"loading|pending|skeleton|spinner|suspense", whole=True),
+    TextRule("missing-empty-state", "react_best_practice", "low", "advisory", 0.74, "pages", r"\{\s*\w+(\.\w+)*\.map\(", (_G, "<ul>{users.map(u => <A key={u.id} />)}</ul>"), (_G, "{users.length === 0 ? <Empty /> : users.map(u => <A key={u.id} />)}{x.map(f)}"), unless=r"\.length\b|empty|no results", whole=True),
+    TextRule("postmessage-receiver-origin-not-verified", "security", "high", "risk", 0.9, "js", r"addEventListener\(\s*['\"]message['\"]", (_X, "window.addEventListener('message', e => run(e.data))"), (_X, "window.addEventListener('message', e => { if (e.origin === me) run(e.data) })"), unless=r"\.origin\b", whole=True),
+    TextRule("outside-click-without-keyboard-fallback", "accessibility", "high", "risk", 0.88, "jsx", r"addEventListener\(\s*['\"](mousedown|click|pointerdown)['\"]", (_X, "document.addEventListener('mousedown', e => box.contains(e.target) || close())"), (_X, "document.addEventListener('mousedown', e => box.contains(e.target) || close()); onKeyDown('Escape', close)"), needs=r"\.contains\(", unless=r"Escape|onKeyDown|keydown", whole=True),
+    TextRule("dialog-focus-restore-missing", "accessibility", "high", "risk", 0.87, "jsx", r"role=['\"](dialog|alertdialog)['\"]", (_X, "<div role='dialog'>b</div>"), (_X, "<div role='dialog'>b</div>; opener.current.focus()"), unless=r"\.focus\(|<Dialog|FocusTrap|restoreFocus", whole=True),
+    TextRule("ref-used-as-reactive-state", "react_best_practice", "medium", "risk", 0.8, "jsx", r"\w+\.current\s*(\+\+|\+=|-=)", (_X, "count.current++"), (_X, "setCount(c => c + 1)"), unless=r"useState\("),
     # accessibility and search engines
     TextRule("img-alt-missing", "accessibility", "high", "risk", 0.9, "markup", r"<img\b[^>]*>", (_X, "<img src='a.png'>"), (_X, "<img src='a.png' alt='A cat'>"), skip=r"\balt\s*="),
     TextRule("safe-target-blank", "security", "high", "risk", 0.9, "markup", r"target\s*=\s*['\"]_blank['\"]", (_X, "<a href='x' target='_blank'>x</a>"), (_X, "<a href='x' target='_blank' rel='noopener noreferrer'>x</a>"), skip=r"noopener|noreferrer"),
