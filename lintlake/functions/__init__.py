@@ -92,3 +92,10 @@ def entropy(text: Column) -> Column:
 
 def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
+
+
+def is_test_path(path: Column) -> Column:
+    """Whether a path is that of a test: by folder or by name; the settings of test tools are none."""
+    name = F.lower(base_name(path))
+    named = name.rlike(r"(test|tests|spec)\.php$|\.(test|spec)\.[jt]sx?$") | F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)/")
+    return named & ~name.rlike(r"^(phpunit(\.\w+)*\.xml.*|pest\.php|jest\.config\.\w+|vitest\.config\.\w+)$")

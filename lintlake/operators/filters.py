@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import CLASSIFICATION_RANK, SEVERITY_RANK, like_glob, lookup
@@ -74,3 +74,63 @@ def one_of_overlaps(findings: DataFrame) -> DataFrame:
 def in_changed(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings in files of `changed` (file)."""
     return findings.join(changed.select("file").distinct(), "file", "left_semi")
+
+
+#: Inline marks: `@lint-ignore rule` or `*`, `-next-line`, and `until:` with the last day it holds.
+MARK = r"(?i)@lint-ignore(-next-line)?\s+([a-z0-9._*-]+)(.*)$"
+
+
+def inline_marks(lines: DataFrame, today: str, mark: str = MARK) -> DataFrame:
+    """(file, line, rule_id, is_next) of the marks in lines (path, line, content), for `without_inline`. A mark past its day, or
+    with a day that is none, doesn't hold."""
+    until = F.regexp_extract(F.regexp_extract("content", mark, 3), r"(?i)\buntil:(\d{4}-\d{2}-\d{2})\b", 1)
+    holds = (until == "") | (F.try_to_timestamp(until, F.lit("yyyy-MM-dd")).cast("date") >= F.lit(today).cast("date"))
+    return lines.filter(F.col("content").rlike(mark) & F.coalesce(holds, F.lit(False))).select(
+        F.col("path").alias("file"), "line", F.lower(F.regexp_extract("content", mark, 2)).alias("rule_id"), (F.regexp_extract("content", mark, 1) != "").alias("is_next")
+    )
+
+
+def in_changed_or_related(findings: DataFrame, changed: DataFrame, related: str = "related_files") -> DataFrame:
+    """Findings whose file, or any of whose related files, is in `changed` (file)."""
+    files = F.array_distinct(F.concat(F.array("file"), F.coalesce(related, F.array().cast("array<string>"))))
+    rows = findings.withColumn("_row", F.struct("*")).select("_row", F.explode(files).alias("_file"))
+    hit = rows.join(changed.select(F.col("file").alias("_file")).distinct(), "_file", "left_semi")
+    return hit.select("_row").distinct().select("_row.*")
+
+
+def outside_allowlist(findings: DataFrame, globs: list[str], extensions: list[str] = ()) -> DataFrame:
+    """Findings in files that no pattern and no extension of the list names."""
+    named = F.lit(False)
+    for g in globs:
+        named |= F.col("file").rlike(like_glob(g))
+    for e in extensions:
+        named |= F.lower("file").endswith(e.lower() if e.startswith(".") else "." + e.lower())
+    return findings.filter(~named)
+
+
+def by_fields(findings: DataFrame, least_confidence: float | None = None, **wanted: list) -> DataFrame:
+    """Findings whose columns have one of the wanted values; an empty list asks for nothing."""
+    for column, values in wanted.items():
+        if values:
+            findings = findings.filter(F.col(column).isin(*values))
+    return findings if least_confidence is None else findings.filter(F.col("confidence") >= least_confidence)
+
+
+def next_findings(findings: DataFrame, limit: int = 1, preferred: str = "") -> DataFrame:
+    """What to look at next: the severest, by what they cost, those of the preferred rule first among equals; 1 to 50."""
+    order = [F.desc(lookup(SEVERITY_RANK, "severity", 0)), F.desc("score_impact"), F.desc(F.col("rule_id") == preferred), "rule_id", "file", "line"]
+    return findings.orderBy(*order).limit(max(1, min(50, limit)))
+
+
+def first_of_each_file(findings: DataFrame, most: int) -> DataFrame:
+    """At most so many findings of a rule in a file, the first by line: a cap that some rules have."""
+    place = Window.partitionBy("file", "rule_id").orderBy("line", "fingerprint")
+    return findings.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most).drop("_n")
+
+
+def app_routes(routes: DataFrame, prefixes=("/_ignition", "/_debugbar", "/telescope", "/horizon", "/sanctum")) -> DataFrame:
+    """Routes (uri) that aren't a framework's own."""
+    own = F.lit(False)
+    for p in prefixes:
+        own |= F.col("uri").startswith(p)
+    return routes.filter(~own)

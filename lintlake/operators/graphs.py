@@ -119,3 +119,39 @@ def unresolved_to_known(raw: DataFrame, known: DataFrame) -> DataFrame:
     by_base = known.groupBy(F.element_at(F.split("fqcn", r"\\"), -1).alias("base")).agg(F.min("fqcn").alias("only"), F.count("*").alias("n")).filter("n = 1")
     exact = raw.join(known.select(F.col("fqcn").alias("exact")), F.col("raw") == F.col("exact"), "left")
     return exact.join(by_base, F.col("raw") == F.col("base"), "left").select("raw", F.coalesce("exact", F.when(~F.col("raw").contains("\\"), F.col("only"))).alias("fqcn"))
+
+
+#: What a script's import may leave out, in the order in which files are tried.
+SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, suffixes=SUFFIXES) -> DataFrame:
+    """(path, target, file): imports (path, target) that name a file of `files` (path), relative to the importing file or by an
+    alias of a folder. Each candidate is a key of an equi join; the first that exists counts."""
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    full = F.when(F.col("target").rlike(r"^\.{1,2}/"), F.concat(folder, "target"))
+    for alias, to in (aliases or {}).items():
+        full = full.when(F.col("target").startswith(alias), F.concat(F.lit(to), F.substring("target", len(alias) + 1, 1 << 20)))
+    plain = F.regexp_replace(full, r"(^|/)(\./)+", "$1")
+    for _ in range(8):  # a/../b is b
+        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    tried = imports.withColumn("full", plain).filter("full is not null").select("path", "target", F.posexplode(F.array(*(F.concat("full", F.lit(x)) for x in suffixes))).alias("nth", "file"))
+    found = tried.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    return found.groupBy("path", "target").agg(F.min_by("file", "nth").alias("file"))
+
+
+def ancestors(children: DataFrame) -> DataFrame:
+    """(node, root, depth) of each node in a hierarchy (node, parent): pointers double each round until none moves, or until they
+    have gone further than there are nodes; those that still move lie on or under a cycle, have no root and are left out."""
+    _shared(children)
+    rounds = children.count().bit_length() + 1
+    at = cut(children.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    for _ in range(rounds):
+        up = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        moved = at.join(up, "up", "left").select("node", F.when(F.col("next").isNull(), F.col("up")).otherwise(F.col("next")).alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
+        moved = cut(moved)
+        at = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    roots = children.filter("parent is null").select(F.col("node").alias("root"))
+    return at.select("node", F.coalesce("up", "node").alias("root"), "depth").join(roots, "root", "left_semi").select("node", "root", "depth")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import CLASSIFICATION_RANK, SEVERITY_RANK
-from lintlake.operators import changes, filters, findings, scoring
+from lintlake.operators import changes, filters, findings, remediation, scoring
 
 RULES = [
     findings.LineRule("secret-token", r"\b[0-9a-f]{40}\b", "security", "critical", "defect", 0.95, 0, "Secret in text", "credential", 2),
@@ -16,7 +16,7 @@ RULES = [
     findings.LineRule("card-number", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "security", "high", "defect", 0.9, 0, "Card number"),
     findings.LineRule("license-line", r"(Licensed|Released) under", "maintainability", "info", "advisory", 0.8, 0, "License line"),
     findings.LineRule("shouting", r"!!", "validation", "low", "advisory", 0.6, 0, "Shouting"),
-    findings.LineRule("long-line", r"^.{241}", "complexity", "low", "risk", 0.5, 0, "Long line"),
+    findings.LineRule("long-line", r"^.{240}", "complexity", "low", "risk", 0.5, 0, "Long line"),
 ]
 CATEGORIES = ["security", "maintainability", "validation", "complexity", "performance"]
 
@@ -117,9 +117,16 @@ def overall_grade(s, d):
     return scoring.overall(scoring.category_scores(found(s, d), CATEGORIES, file_count=1000))
 
 
+def _rule_table(s):
+    return s.createDataFrame([(r.rule_id, r.category, r.severity) for r in RULES], "rule_id string, category string, severity string")
+
+
 def v2_bucket_score(s, d):
-    rules = s.createDataFrame([(r.category, r.severity, r.classification) for r in RULES], "category string, severity string, classification string")
-    return scoring.bucket_scores(found(s, d), rules)
+    return scoring.bucket_scores(found(s, d), _rule_table(s))
+
+
+def v2_overall(s, d):
+    return scoring.bucket_overall(scoring.bucket_scores(found(s, d), _rule_table(s)))
 
 
 def file_summary(s, d):
@@ -175,6 +182,26 @@ def sarif_rules_first(s, d):
     return first.select("rule_id", F.col("x.file").alias("file"), F.col("x.line").alias("line"), "n")
 
 
+def next_findings(s, d):
+    return filters.next_findings(found(s, d), 20, "secret-token").select(*_KEY)
+
+
+def per_file_cap(s, d):
+    return filters.first_of_each_file(found(s, d), 2).select(*_KEY)
+
+
+def field_filter(s, d):
+    return filters.by_fields(found(s, d), 0.7, severity=["high", "critical"], category=["security"], rule_id=[]).select(*_KEY)
+
+
+def allowlist_filter(s, d):
+    return filters.outside_allowlist(found(s, d), ["doc/2*"], ["de"]).select(*_KEY)
+
+
+def remediation_tasks(s, d):
+    return remediation.grouped(found(s, d), "category").groupBy("task_kind", "task_key").agg(F.count("*").alias("n_findings"), F.countDistinct("file").alias("n_files"))
+
+
 _NUMBER = "regexp_extract(file, 'doc/([0-9]+)', 1)::BIGINT"
 _DIFF = f"""c AS (SELECT fingerprint, min(severity) AS now FROM found WHERE {_NUMBER} % 10 <> 0 GROUP BY fingerprint),
 b AS (SELECT fingerprint, min(severity) AS prev FROM found WHERE {_NUMBER} % 10 <> 1 GROUP BY fingerprint),
@@ -186,6 +213,17 @@ diff AS (
 _COLUMNS = "file, line, rule_id, fingerprint, confidence"
 _IMPACT, _RISK = _case("severity", scoring.IMPACT, "0.2"), _case("classification", scoring.RISK, "0.46")
 
+_BUCKET = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scoring.BUCKET.items()) + " ELSE 'quality' END"
+_BUCKETS = f"""rules(rule_id, category, severity) AS (VALUES {", ".join(f"('{r.rule_id}', '{r.category}', '{r.severity}')" for r in RULES)}),
+possible AS (SELECT {_BUCKET("category")} AS bucket, sum({_case("severity", scoring.V2_WEIGHT, "5::DOUBLE")}) AS possible FROM rules GROUP BY 1),
+once AS (SELECT {_BUCKET("category")} AS bucket, fingerprint, max({_case("severity", scoring.V2_WEIGHT, "5::DOUBLE")} * {_case("classification", scoring.MULTIPLIER, "1")}) AS p FROM found GROUP BY ALL),
+pen AS (SELECT bucket, sum(p) AS penalty FROM once GROUP BY bucket),
+buckets AS (
+  SELECT bucket, coalesce(possible, 0) AS possible, round_even(coalesce(penalty, 0), 6) AS penalty,
+    CASE WHEN coalesce(possible, 0) = 0 THEN CASE WHEN penalty > 0 THEN 0 ELSE 100 END ELSE greatest(0, round_even(100 - coalesce(penalty, 0) / possible * 100, 0)) END::DOUBLE AS score
+  FROM (VALUES {", ".join(f"('{b}')" for b in scoring.BUCKET_WEIGHT)}) b(bucket) LEFT JOIN possible USING (bucket) LEFT JOIN pen USING (bucket)
+)"""
+
 SQL = {
     "line_regex_scan": f"WITH {FOUND_SQL} SELECT file, line, rule_id, context, severity, fingerprint FROM found",
     "secret_lines": f"""WITH {LINES_SQL}
@@ -209,14 +247,8 @@ WHERE file IN (SELECT 'doc/' || doc_id || '.' || lang FROM documents SEMI JOIN (
     "category_score": f"WITH {FOUND_SQL}, {_SCORES_SQL} SELECT * FROM scores",
     "overall_grade": f"""WITH {FOUND_SQL}, {_SCORES_SQL}, t AS (SELECT sum(raw_score * {_WEIGHT}) / sum({_WEIGHT}) AS s, sum((100 - raw_score) * {_WEIGHT} / 100) AS i FROM scores)
 SELECT round_even(s, 1) AS overall_score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade, round_even(i, 2) AS improvement FROM t""",
-    "v2_bucket_score": f"""WITH {FOUND_SQL},
-rules(category, severity) AS (VALUES {", ".join(f"('{r.category}', '{r.severity}')" for r in RULES)}),
-possible AS (SELECT category AS bucket, sum({_case("severity", scoring.V2_WEIGHT, "5::DOUBLE")}) AS possible FROM rules GROUP BY category),
-once AS (SELECT category AS bucket, fingerprint, max({_case("severity", scoring.V2_WEIGHT, "5::DOUBLE")} * {_case("classification", scoring.MULTIPLIER, "1")}) AS p FROM found GROUP BY ALL),
-pen AS (SELECT bucket, sum(p) AS penalty FROM once GROUP BY bucket)
-SELECT bucket, coalesce(possible, 0) AS possible, round_even(coalesce(penalty, 0), 6) AS penalty,
-  CASE WHEN coalesce(possible, 0) = 0 THEN CASE WHEN penalty > 0 THEN 0 ELSE 100 END ELSE greatest(0, round_even(100 - coalesce(penalty, 0) / possible * 100, 0)) END::DOUBLE AS score
-FROM possible FULL JOIN pen USING (bucket)""",
+    "v2_bucket_score": f"WITH {FOUND_SQL}, {_BUCKETS} SELECT bucket, possible, penalty, score FROM buckets",
+    "v2_overall": f"WITH {FOUND_SQL}, {_BUCKETS} SELECT round_even(sum(score * w) / sum(w), 0)::DOUBLE AS overall FROM buckets JOIN (VALUES {', '.join(f'{kv}' for kv in scoring.BUCKET_WEIGHT.items())}) b(bucket, w) USING (bucket)",
     "file_summary": f"WITH {FOUND_SQL} SELECT file, count(*) AS n_findings, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in SEVERITY_RANK) + " FROM found GROUP BY file",
     "action_plan": f"""WITH {FOUND_SQL}, p AS (SELECT *, {_PENALTY} AS penalty FROM found),
 f AS (SELECT rule_id, min(row(file, context, fingerprint)) AS x FROM p GROUP BY rule_id)
@@ -224,9 +256,27 @@ SELECT p.rule_id, category, round_even(sum(penalty * {_WEIGHT}) / 100, 2) AS pri
   count(DISTINCT fingerprint) AS n_fingerprints, count(DISTINCT file) AS n_files, any_value(x[1]) AS sample_file, any_value(x[3]) AS sample_fingerprint
 FROM p JOIN f USING (rule_id) GROUP BY p.rule_id, category""",
     "triage_plan": f"""WITH {FOUND_SQL}, p AS (SELECT *, {_PENALTY} AS penalty FROM found),
-g AS (SELECT rule_id, max({_IMPACT}) AS sev, max({_RISK}) AS cls, sum(penalty) AS p, count(*) AS n, avg(confidence) AS conf, max((category = 'security')::INT) AS sec FROM p GROUP BY rule_id)
-SELECT rule_id, round_even(least(1, 0.55::DOUBLE * sev + 0.30::DOUBLE * least(1, p / 20) + 0.15::DOUBLE * least(1, n / 8)), 6) AS impact,
-  round_even(least(1, 0.60::DOUBLE * cls + 0.30::DOUBLE * conf + 0.12::DOUBLE * sec), 6) AS risk FROM g""",
+g AS (
+  SELECT rule_id, any_value(category) AS category, any_value(severity) AS severity, any_value(classification) AS classification, max({_SEV})::INT AS severity_rank, max({_CLS})::INT AS classification_rank,
+    sum(penalty) AS p, count(*) AS n, avg(confidence) AS conf, count(DISTINCT file) AS n_files FROM p GROUP BY rule_id
+),
+f AS (
+  SELECT *, least(1, 0.55::DOUBLE * {_IMPACT} + 0.30::DOUBLE * least(1, p / 20) + 0.15::DOUBLE * least(1, n / 8)) AS impact,
+    least(1, 0.60::DOUBLE * {_RISK} + 0.30::DOUBLE * conf + CASE WHEN category = 'security' THEN 0.12::DOUBLE ELSE 0 END) AS risk,
+    least(1, 0.55::DOUBLE + least(0.2::DOUBLE, (n_files - 1) / 5 * 0.2::DOUBLE) + 0.005::DOUBLE) AS effort, CASE WHEN category = 'security' THEN 1.1 ELSE 1 END::DOUBLE AS context FROM g
+),
+s AS (SELECT *, round_even(greatest(0, least(100, 100 * impact * risk * (1 - 0.6::DOUBLE * effort) * context)), 2) AS score FROM f)
+SELECT rule_id, category, 'risky' AS strategy, CASE WHEN score >= 60 THEN 'fix_now' WHEN score >= 35 OR (category = 'security' AND classification = 'defect') THEN 'schedule_next' ELSE 'ignore_safely_candidate' END AS recommendation,
+  round_even(impact, 4) AS impact, round_even(risk, 4) AS risk, round_even(effort, 4) AS effort, round_even(context, 4) AS context, score, severity_rank, classification_rank, n_files,
+  row_number() OVER (ORDER BY classification_rank DESC, score DESC, category, rule_id)::INT AS rank FROM s""",
+    "next_findings": f"WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found ORDER BY {_SEV} DESC, score_impact DESC, (rule_id = 'secret-token') DESC, rule_id, file, line LIMIT 20",
+    "per_file_cap": f"WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found QUALIFY row_number() OVER (PARTITION BY file, rule_id ORDER BY line, fingerprint) <= 2",
+    "field_filter": f"WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found WHERE severity IN ('high', 'critical') AND category = 'security' AND confidence >= 0.7",
+    "allowlist_filter": f"WITH {FOUND_SQL} SELECT {_COLUMNS} FROM found WHERE NOT file ILIKE 'doc/2%' AND NOT lower(file) LIKE '%.de'",
+    "remediation_tasks": f"""WITH {FOUND_SQL}, a AS (SELECT *, count(*) OVER (PARTITION BY file, category) AS n FROM found),
+r AS (SELECT rule_id, count(*) AS m FROM a WHERE n = 1 GROUP BY rule_id)
+SELECT CASE WHEN n > 1 THEN 'by_file' WHEN m > 1 THEN 'by_rule' ELSE 'singleton' END AS task_kind, CASE WHEN n > 1 THEN file || '::' || category WHEN m > 1 THEN rule_id ELSE fingerprint END AS task_key,
+  count(*) AS n_findings, count(DISTINCT file) AS n_files FROM a LEFT JOIN r USING (rule_id) GROUP BY ALL""",
     "group_views": f"WITH {FOUND_SQL} SELECT severity, classification, count(*) AS n, count(DISTINCT file) AS n_files FROM found GROUP BY ALL",
     "hotspots_topk": f"WITH {FOUND_SQL} SELECT file, count(*) AS n, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY file ORDER BY n DESC, n_rules DESC, file LIMIT 10",
     "baseline_diff": f"WITH {FOUND_SQL}, {_DIFF} SELECT fingerprint, severity, status FROM diff",

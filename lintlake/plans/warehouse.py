@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lintlake.operators import changes, graphs
+from lintlake.operators import changes, filters, graphs, remediation, ruleset
 
 #: Edges of a small dependency graph with two cycles; fixed values of the queries below.
 EDGES = (("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "g"))
@@ -84,15 +85,72 @@ def fix_confidence(s, d):
 
 
 def default_disable_config(s, d):
-    rules = _t(s, d, "nation").select(F.col("n_name").alias("rule_id"), "n_nationkey")
+    rules = _t(s, d, "nation").select(F.col("n_name").alias("rule_id"))
     config = s.createDataFrame([(f"NATION_{i}", i % 3 != 0) for i in range(0, 25, 2)], "rule_id string, enabled boolean")
-    return rules.join(config, "rule_id", "left").select("rule_id", F.coalesce("enabled", F.lit(False)).alias("enabled"))
+    return ruleset.enabled(rules, config)
+
+
+def rule_applicability(s, d):
+    """Parts stand in for rules: their brand is the family, their type the project types that they name."""
+    rules = _t(s, d, "part").select(
+        F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("family"), F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>")).alias("project_types"),
+        (F.col("p_size") > 10).alias("enabled"),
+    )
+    first = _t(s, d, "part").agg(F.min("p_type").alias("project_type"), F.array(F.min("p_brand"), F.max("p_brand")).alias("families"))
+    return ruleset.applicable(rules, first).select("rule_id", "family")
+
+
+def alias_resolution(s, d):
+    aliases = _t(s, d, "supplier").select(F.col("s_suppkey").alias("alias"), F.col("s_nationkey").cast("long").alias("canonical")).filter("alias % 3 = 0")
+    return ruleset.resolved(_t(s, d, "lineitem").select(F.col("l_suppkey").alias("rule_id")), aliases)
+
+
+def ledger_breaks(s, d):
+    """Each event is an entry whose hash is that of its own fields; every seventh names another entry than the one before it."""
+    own = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256)
+    before = F.lag("entry_hash").over(Window.partitionBy("user_id").orderBy("event_id"))
+    chain = _t(s, d, "events").select("user_id", "event_id", own.alias("entry_hash")).withColumn("prev_hash", F.when(F.col("event_id") % 7 == 0, F.lit("x")).otherwise(before))
+    return remediation.broken_links(chain, "user_id", ["event_id"]).select("user_id", "event_id")
+
+
+def ledger_replay(s, d):
+    return remediation.replayed(_t(s, d, "events").withColumn("task", F.col("event_id") % 5), "user_id", "task", "event_id", "event_type")
+
+
+def category_trend(s, d):
+    scans = _t(s, d, "orders").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("project"), "o_orderdate", "o_orderkey", "o_totalprice")
+    return changes.trend(scans, "project", ["o_orderdate", "o_orderkey"], "o_totalprice", limit=5, least=1000.0)
+
+
+def import_resolution(s, d):
+    """Parts stand in for files: a part's file imports that of its brand, which has one of several endings or none."""
+    part = _t(s, d, "part")
+    files = part.select(F.concat(F.lit("src/"), F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, ".ts").when(F.col("p_size") % 3 == 1, "/index.js").otherwise(".css")).alias("path"))
+    imports = part.select(F.concat(F.lit("src/app/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.concat(F.when(F.col("p_size") % 2 == 0, "../").otherwise("@/"), F.col("p_brand")).alias("target"))
+    return graphs.resolved_imports(imports, files, {"@/": "src/"})
+
+
+def class_hierarchy(s, d):
+    """Customers stand in for classes: each extends the one at half its number."""
+    c = _t(s, d, "customer").select(F.col("c_custkey").alias("node"))
+    return graphs.ancestors(c.select("node", F.when(F.floor(F.col("node") / 2) >= 1, F.floor(F.col("node") / 2)).alias("parent")))
+
+
+def inline_suppressed(s, d):
+    """Orders stand in for files of three lines: a mark, which may be for the next line and may have passed, and two findings."""
+    o = _t(s, d, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 4).alias("k"),
+        F.concat(F.lit("// @lint-ignore"), F.when(F.col("o_orderkey") % 2 == 0, "-next-line").otherwise(""), F.lit(" rule-"), (F.col("o_orderkey") % 3).cast("string"), F.lit(" until:"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("content"),
+    )
+    marks = filters.inline_marks(o.select("path", F.lit(1).alias("line"), "content"), "1996-01-01")
+    found = o.select(F.col("path").alias("file"), F.explode(F.array(F.lit(2), F.lit(3))).alias("line"), F.concat(F.lit("rule-"), (F.col("k") % 3).cast("string")).alias("rule_id"))
+    return filters.without_inline(found, marks)
 
 
 def ruleset_overlay(s, d):
-    base = _t(s, d, "nation").select(F.col("n_name").alias("rule_id"), F.col("n_regionkey").alias("base"))
-    user = _t(s, d, "nation").filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("rule_id"), (F.col("n_regionkey") + 10).alias("user"))
-    return base.join(user, "rule_id", "full_outer").select("rule_id", F.coalesce("user", "base").alias("level"))
+    base = _t(s, d, "nation").select(F.col("n_name").alias("rule_id"), F.col("n_regionkey").alias("level"))
+    user = _t(s, d, "nation").filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("rule_id"), (F.col("n_regionkey") + 10).alias("level"))
+    return ruleset.overlaid(base, user)
 
 
 def _edges(s):
@@ -154,6 +212,21 @@ SELECT path, CASE WHEN b.t IS NULL THEN 'added' WHEN n.t IS NULL THEN 'deleted'
 SELECT *, CASE WHEN skipped / n >= 0.6 THEN 0.88 WHEN fixed / n >= 0.65 THEN 1.08 ELSE 1 END::DOUBLE AS factor FROM g""",
     "fix_confidence": """SELECT l_orderkey, l_linenumber, round_even(0.35::DOUBLE * l_discount + 0.25::DOUBLE * l_tax + 0.2::DOUBLE * (l_quantity / 50) + 0.2::DOUBLE * (l_linenumber / 7), 4) AS confidence FROM lineitem""",
     "default_disable_config": f"WITH c(rule_id, enabled) AS (VALUES {_CONFIG}) SELECT n_name AS rule_id, coalesce(enabled, false) AS enabled FROM nation LEFT JOIN c ON n_name = rule_id",
+    "rule_applicability": """WITH p AS (SELECT min(p_type) AS t, min(p_brand) AS a, max(p_brand) AS b FROM part)
+SELECT p_partkey AS rule_id, p_brand AS family FROM part, p WHERE p_size > 10 AND p_brand IN (a, b) AND (p_size % 2 <> 0 OR p_type = t)""",
+    "alias_resolution": """SELECT DISTINCT coalesce(s_nationkey::BIGINT, l_suppkey) AS rule_id FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON l_suppkey = s_suppkey""",
+    "ledger_breaks": "SELECT user_id, event_id FROM events WHERE event_id % 7 = 0",
+    "ledger_replay": "SELECT user_id, event_id % 5 AS task, arg_max(event_type, event_id) AS event_type, count(*) AS n_steps FROM events GROUP BY 1, 2",
+    "category_trend": """WITH k AS (SELECT o_custkey || '/' || o_orderpriority AS project, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
+g AS (SELECT project, count(*) AS n_scans, arg_max(o_totalprice, n) AS first_score, arg_min(o_totalprice, n) AS last_score FROM k WHERE n <= 5 GROUP BY project)
+SELECT *, CASE WHEN n_scans < 2 THEN 'insufficient_data' WHEN last_score - first_score > 1000 THEN 'improving' WHEN last_score - first_score < -1000 THEN 'regressing' ELSE 'stable' END AS direction FROM g""",
+    "import_resolution": """WITH f AS (SELECT DISTINCT 'src/' || p_brand || CASE p_size % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.js' ELSE '.css' END AS file FROM part),
+i AS (SELECT 'src/app/' || p_partkey || '.ts' AS path, CASE WHEN p_size % 2 = 0 THEN '../' ELSE '@/' END || p_brand AS target, 'src/' || p_brand AS base FROM part)
+SELECT DISTINCT path, target, coalesce(a.file, b.file) AS file FROM i LEFT JOIN f a ON a.file = base || '.ts' LEFT JOIN f b ON b.file = base || '/index.js' WHERE coalesce(a.file, b.file) IS NOT NULL""",
+    "class_hierarchy": "SELECT c_custkey AS node, least(c_custkey, 1)::BIGINT AS root, CASE WHEN c_custkey < 2 THEN 0 ELSE floor(log2(c_custkey)) END::BIGINT AS depth FROM customer",
+    "inline_suppressed": """WITH o AS (SELECT 'o' || o_orderkey AS file, o_orderkey AS k, o_orderdate::DATE >= DATE '1996-01-01' AS holds FROM orders)
+SELECT file, line, 'rule-' || (k % 4 % 3) AS rule_id FROM o CROSS JOIN (VALUES (2), (3)) l(line)
+WHERE NOT (holds AND k % 3 = k % 4 % 3 AND (k % 2 <> 0 OR line = 2))""",
     "ruleset_overlay": "SELECT n_name AS rule_id, CASE WHEN n_nationkey % 4 = 0 THEN n_regionkey + 10 ELSE n_regionkey END AS level FROM nation",
     "scc": f"WITH RECURSIVE {_CLOSURE}, p AS (SELECT DISTINCT a, b FROM r) SELECT x.a AS node, least(min(x.b), x.a) AS component FROM p x JOIN p y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "bfs": f"WITH RECURSIVE {_CLOSURE} SELECT a AS start, b AS node, CASE WHEN a = b THEN 0 ELSE min(n) END AS depth FROM r WHERE a IN ('f', 'd') GROUP BY a, b UNION SELECT 'f', 'f', 0",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions import base_name, extension, ignore_glob, normal_path
+from lintlake.functions import base_name, extension, ignore_glob, is_test_path, normal_path
 
 #: What a scan reads, and the caps that its semantics have.
 PHP, JS = (".php", ".blade.php", ".inc", ".phtml", ".module", ".php5"), (".js", ".jsx", ".ts", ".tsx")
@@ -50,17 +50,38 @@ def read_jest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file_path", "v.lines.total", "v.lines.covered", "v.lines.pct")
 
 
-def sarif(findings: DataFrame) -> DataFrame:
-    """(sarif): one JSON row with the rules, by id, and the results. Results of a run go to one document, as the format has it."""
+def sarif(findings: DataFrame, results: int = 5000) -> DataFrame:
+    """(part, sarif): JSON documents of at most about `results` findings each, every one with the rules it names, by id. Files are dealt
+    out by hash, so a file's findings are in one document; a document is one group, bounded by the number of parts."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    first = Window.partitionBy("rule_id").orderBy("file", "line", "fingerprint")
-    rules = findings.withColumn("n", F.row_number().over(first)).filter("n = 1").agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name")))).alias("rules"))
+    parts = max(1, -(-findings.count() // results))
     result = F.struct("file", "line", F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), "fingerprint")
-    return rules.crossJoin(findings.agg(F.array_sort(F.collect_list(result)).alias("results"))).select(
-        F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct("rules").alias("driver")).alias("tool"), "results")).alias("runs"))).alias("sarif")
+    rule = F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"))
+    each = findings.groupBy(F.pmod(F.xxhash64("file"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_set(rule)).alias("rules"), F.array_sort(F.collect_list(result)).alias("results"))
+    return each.select(
+        "part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct("rules").alias("driver")).alias("tool"), "results")).alias("runs"))).alias("sarif")
     )
 
 
+def inside(files: DataFrame, root: str) -> DataFrame:
+    """Files whose path, once `.` and `..` are worked out, lies under root."""
+    plain = normal_path(F.col("path"))
+    for _ in range(8):
+        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return files.withColumn("path", plain).filter(F.col("path").startswith(root.rstrip("/") + "/"))
+
+
+def test_files(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """Files that look like tests, ignored ones too, the first by path; settings of test tools are none."""
+    return files.filter(is_test_path(F.col("path"))).orderBy("path").limit(most)
+
+
+def first_existing(files: DataFrame, candidates: list[str]) -> DataFrame:
+    """The first of the candidates, in their order, that exists."""
+    tried = files.sparkSession.createDataFrame(list(enumerate(candidates)), "nth int, path string")
+    return files.join(F.broadcast(tried), "path").orderBy("nth").limit(1).drop("nth")
+
+
 def save_baseline(findings: DataFrame, path: str, project: str, profile: str) -> None:
     """One snapshot for each project and profile; others stay."""
     rows = findings.select(F.lit(project).alias("project_slug"), F.lit(profile).alias("profile"), "fingerprint", "rule_id", "severity", "category", "file", "line", "confidence")

@@ -151,6 +151,8 @@ def test_sarif_and_baseline(spark, tmp_path):
     df = spark.createDataFrame([("a", "bad"), ("b", "bad")], "path string, content string")
     f = findings.scan_lines(df, [rule(severity="high")])
     run = json.loads(sources.sarif(f).first().sarif)["runs"][0]
+    parts = [json.loads(r.sarif)["runs"][0] for r in sources.sarif(f, results=1).collect()]
+    assert sum(len(x["results"]) for x in parts) == f.count() and all({r["ruleId"] for r in x["results"]} == {r["id"] for r in x["tool"]["driver"]["rules"]} for x in parts)
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["r"]
     assert [r["level"] for r in run["results"]] == ["error", "error"]
     for profile in ("strict", "startup"):
@@ -245,3 +247,51 @@ def test_components(spark):
     src = spark.createDataFrame([("a/B.tsx", "import React, { useState } from 'react'\nexport default function B() { const [x] = useState(1); return <C/> }\nconst C = () => import('./d')\n")], "path string, content string")
     r = php.components(src).first()
     assert (r.components, r.hooks, r.imports) == (["B", "C"], ["useState"], ["react", "./d"])
+
+
+def test_overlaps_by_scope_or_context(spark):
+    names = "file string, line int, rule_id string, context string, severity string, classification string, confidence double, score_impact int, overlap_group string, overlap_rank int, rule_ord int, overlap_scope string"
+    row = lambda line, rule, context, rank, group="g", scope="": ("a", line, rule, context, "low", "risk", 0.5, 0, group, rank, line, scope)
+    rows = [row(1, "r1", "same", 1), row(9, "r2", "same", 2), row(2, "r1", "other", 1), row(3, "r3", "x", 1, scope="s"), row(4, "r4", "y", 2, scope="s"), row(5, "r5", "", 1), row(6, "r5", "", 1), row(7, "r1", "same", 1, group="")]
+    got = {(r.line, tuple(r.suppressed_rules)) for r in filters.one_of_overlaps(spark.createDataFrame(rows, names)).collect()}
+    assert got == {(9, ("r1",)), (2, ()), (4, ("r3",)), (5, ()), (6, ()), (7, ())}
+
+
+def test_line_rules_look_behind_column_240(spark):
+    rule = findings.LineRule("secret", r"[0-9a-f]{40}", "security", "high", "defect", 0.9)
+    d = spark.createDataFrame([("a", "x " * 300 + "0123456789" * 4)], "path string, content string")
+    assert [r.context for r in findings.scan_lines(d, [rule]).collect()] == ["0123456789" * 4]
+
+
+def test_inline_marks(spark):
+    texts = ["// @lint-ignore r1", "# @LINT-IGNORE-next-line * until:2020-01-01", "@lint-ignore r2 until:2030-01-01", "@lint-ignore r3 until:2020-99-99", "none"]
+    lines = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(texts)], "path string, line int, content string")
+    assert {(r.line, r.rule_id, r.is_next) for r in filters.inline_marks(lines, "2020-01-01").collect()} == {(1, "r1", False), (2, "*", True), (3, "r2", False)}
+    assert {r.line for r in filters.inline_marks(lines, "2020-01-02").collect()} == {1, 3}
+
+
+def test_related_files_and_paths(spark):
+    f = spark.createDataFrame([("a", ["b"]), ("c", None), ("d", ["e"])], "file string, related_files array<string>")
+    assert {r.file for r in filters.in_changed_or_related(f, spark.createDataFrame([("b",), ("c",)], "file string")).collect()} == {"a", "c"}
+    files = spark.createDataFrame([("/r/a/../b.php",), ("/r/../x.php",), ("/r/tests/ATest.php",), ("/r/phpunit.xml",)], "path string")
+    assert {r.path for r in sources.inside(files, "/r").collect()} == {"/r/b.php", "/r/tests/ATest.php", "/r/phpunit.xml"}
+    assert [r.path for r in sources.test_files(files).collect()] == ["/r/tests/ATest.php"]
+    assert sources.first_existing(files, ["/r/none", "/r/phpunit.xml"]).first().path == "/r/phpunit.xml"
+
+
+def test_hierarchy_without_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100)]
+    got = {r.node: (r.root, r.depth) for r in graphs.ancestors(spark.createDataFrame(rows, "node int, parent int")).collect()}
+    assert got == {i: (0, i) for i in range(40)}
+
+
+def test_weights():
+    assert scoring.normal_weights({"sec": 0.5, "dry": 0.5, "nope": 1}, {"sec": "security"}) == {"security": 50, "dry": 50}
+    assert scoring.normal_weights({"security": 30, "dry": 10}) == {"security": 30, "dry": 10}
+
+
+def test_fix_ranks(spark):
+    from lintlake.operators import remediation
+
+    fixes = spark.createDataFrame([("safe_edit", "high", 1), ("manual_review", "low", 20)], "strategy string, confidence string, n_files int")
+    assert [r.rank_score for r in remediation.ranked(fixes).collect()] == [1.0, 0.25]
