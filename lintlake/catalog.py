@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lintlake.plans import code, corpus, elements, rules, texts, warehouse
+from lintlake.plans import bodies, code, corpus, elements, rules, texts, warehouse
 
-_PLANS = (code, corpus, elements, rules, texts, warehouse)
+_PLANS = (bodies, code, corpus, elements, rules, texts, warehouse)
 
 
 def queries() -> dict:

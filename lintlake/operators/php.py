@@ -20,12 +20,12 @@ from pyspark.sql.types import StructType
 from lintlake.functions import extension
 from lintlake.operators.findings import lines_of
 
-_QUIET = re.compile(r"//[^\n]*|#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", re.S)
+_QUIET = re.compile(r"<<<[ \t]*(['\"]?)(\w+)\1\n.*?(?:\n[ \t]*\2\b|\Z)|//[^\n]*|#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", re.S)
 _DECLARED = re.compile(r"((?:\b(?:public|protected|private|static|abstract|final|readonly)\s+)*)(?<!::)(?<!new )\b(class|interface|trait|enum|function)\s+&?([A-Za-z_]\w*)")
 _ROUTE, _GROUP = re.compile(r"\bRoute::"), re.compile(r"(?:->|::)group\s*\(")
 
 #: Words and signs of a body that add a path through it.
-BRANCHES = r"\b(?:if|elseif|for|foreach|while|case|catch)\b|&&|\|\||\?\?|\?(?![>:?-])"
+BRANCHES = r"\b(?:if|elseif|for|foreach|while|case|catch)\b|&&|\|\||\?\?|(?<![(,:]\s{0,3})(?<!\b(?:public|private|protected|readonly|static)\s{1,3})\?(?![>:?-])"
 LOOPS = r"\b(?:for|foreach|while)\s*\("
 CALL = r"(?:->|::)\s*([A-Za-z_]\w*)\s*\("
 MODEL_CALL = r"\b([A-Z]\w*)::(?:where|query|find|findOrFail|all|with|create|first|insert|update|delete)\s*\("
@@ -52,13 +52,13 @@ def _closing(quiet: str) -> dict[int, int]:
     return pairs | dict.fromkeys(stack, len(quiet))
 
 
-def _line_starts(text: str) -> list[int]:
+def line_starts(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer("\n", text))]
 
 
 def _declared(path: str, text: str) -> Iterator[tuple]:
     quiet = quieted(text)
-    closing, starts = _closing(quiet), _line_starts(text)
+    closing, starts = _closing(quiet), line_starts(text)
     owners: list[tuple[int, str]] = []
     for n, m in enumerate(_DECLARED.finditer(quiet)):
         stop = re.compile("[{;]").search(quiet, m.end())
@@ -75,7 +75,7 @@ def _declared(path: str, text: str) -> Iterator[tuple]:
 
 def _statements(path: str, text: str) -> Iterator[tuple]:
     quiet = quieted(text)
-    closing, starts = _closing(quiet), _line_starts(text)
+    closing, starts = _closing(quiet), line_starts(text)
     groups: list[tuple[int, str]] = []
     for m in _ROUTE.finditer(quiet):
         while groups and groups[-1][0] < m.start():
@@ -202,7 +202,7 @@ def routes(sources: DataFrame) -> DataFrame:
 
 def migrations(declared: DataFrame) -> DataFrame:
     """(path, op, table, column, type, indexed, foreign): what `up` methods do; a table without columns has a null one."""
-    blocks = declared.filter("kind = 'function' and name = 'up'").select("path", F.explode(F.slice(F.split("body", "Schema::"), 2, 100_000)).alias("block"))
+    blocks = declared.filter("kind = 'function' and name = 'up'").select("path", F.explode(F.filter(F.split("body", "Schema::"), lambda _, i: i > 0)).alias("block"))
     act = blocks.select(
         "path", F.regexp_extract("block", r"^(\w+)", 1).alias("op"), F.regexp_extract("block", r"^\w+\(\s*'(\w+)'", 1).alias("table"),
         F.explode_outer(F.regexp_extract_all("block", F.lit(r"\$table->\w+\(\s*'\w+'[^;]*"), 0)).alias("part"),

@@ -28,3 +28,19 @@ def applicable(rules: DataFrame, project: DataFrame) -> DataFrame:
     one of the project's, and they name its type or none."""
     fits = F.array_contains("families", F.col("family")) & ((F.size("project_types") == 0) | F.array_contains("project_types", F.col("project_type")))
     return rules.crossJoin(F.broadcast(project.limit(1))).filter(F.col("enabled") & fits).select(*(rules[c] for c in rules.columns))
+
+
+def calibrated(rules: DataFrame, patches: DataFrame) -> DataFrame:
+    """`rules` (rule_id, enabled, severity, thresholds) after `patches` (rule_id, ord, enabled, severity, thresholds): of enabled and severity the last that is
+    not null holds, thresholds are merged by name, the last one holds. `ord` gives the order of the layers (profile, project type, capabilities,
+    expectations); patches of rules that aren't there are left out; of equal `ord` the
+    greatest value holds. A rule has a few thresholds, so these are collected by rule."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ord", c))).alias(f"_{c}")
+    own = patches.join(rules.select("rule_id"), "rule_id", "left_semi")
+    switched = own.groupBy("rule_id").agg(last("enabled"), last("severity"))
+    named = rules.select("rule_id", F.lit(None).cast("long").alias("ord"), F.explode("thresholds")).unionByName(own.select("rule_id", F.col("ord").cast("long"), F.explode("thresholds")))
+    # a default comes before every patch
+    values = named.groupBy("rule_id", "key").agg(F.max_by("value", F.struct(F.col("ord").isNotNull(), "ord", "value")).alias("value"))
+    merged = values.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_thresholds"))
+    found = rules.join(switched, "rule_id", "left").join(merged, "rule_id", "left")
+    return found.select("rule_id", F.coalesce("_enabled", "enabled").alias("enabled"), F.coalesce("_severity", "severity").alias("severity"), F.coalesce("_thresholds", "thresholds").alias("thresholds"))

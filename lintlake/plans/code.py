@@ -19,7 +19,7 @@ def _table(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _source(df: DataFrame, path: str, text: str) -> DataFrame:
+def rendered(df: DataFrame, path: str, text: str) -> DataFrame:
     """`[[column]]` in path and text stand for columns."""
 
     def filled(template: str):
@@ -40,11 +40,11 @@ def controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(F.col("o_orderstatus") == "F", F.lit("    public function run()\n    {\n        return eval(Order::find(1)->code);\n    }\n")).otherwise(F.lit(""))
     o = o.withColumn("methods", F.concat(F.array_join(method, ""), body))
-    return _source(o, "app/Http/Controllers/Order[[o_orderkey]].php", "<?php\nnamespace App\\Orders;\n\nfinal class Order[[o_orderkey]] extends Customer[[o_custkey]] implements Countable, Status[[o_orderstatus]]\n{\n[[methods]]}\n")
+    return rendered(o, "app/Http/Controllers/Order[[o_orderkey]].php", "<?php\nnamespace App\\Orders;\n\nfinal class Order[[o_orderkey]] extends Customer[[o_custkey]] implements Countable, Status[[o_orderstatus]]\n{\n[[methods]]}\n")
 
 
 def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _source(
+    return rendered(
         _table(spark, sf_dir, "supplier"),
         "routes/[[s_suppkey]]/api.php",
         "<?php\nRoute::middleware(['auth', 'throttle:60'])->prefix('n[[s_nationkey]]')->group(function () {\n    Route::get('/s/[[s_suppkey]]', [SupplierController::class, 'show']);\n"
@@ -54,7 +54,7 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def migration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _source(
+    return rendered(
         _table(spark, sf_dir, "part"),
         "database/migrations/[[p_partkey]].php",
         "<?php\nclass M[[p_partkey]] extends Migration\n{\n    public function up(): void\n    {\n        Schema::create('part_[[p_size]]', function (Blueprint $table) {\n            $table->id();\n"
@@ -64,7 +64,7 @@ def migration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _source(_table(spark, sf_dir, "pages"), "views/[[page_id]].blade.php", "<p>\n{!! $request->input('q') !!} {!! $page !!}\n@foreach (User::all() as $u)\n[[page_id]]\n")
+    return rendered(_table(spark, sf_dir, "pages"), "views/[[page_id]].blade.php", "<p>\n{!! $request->input('q') !!} {!! $page !!}\n@foreach (User::all() as $u)\n[[page_id]]\n")
 
 
 def php_classes(s, d):
