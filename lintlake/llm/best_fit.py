@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import renamed, slices, table, with_fields, written
+from .common import quoted, renamed, slices, table, with_fields, written
 from .tokens import DEFAULT_TOKENIZER, encoder
 
 CAPACITY = 1024
@@ -101,9 +101,9 @@ def best_fit(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY
     wrote of that length, so no group is larger than one task's rows, however many rows share a length.
     """
     own = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
-    fits = F.col(_quoted(length)).between(1, capacity)
-    checked = F.when(fits, F.col(_quoted(length)).cast("int")).otherwise(F.raise_error(F.lit(f"lengths are 1 to {capacity}")).cast("int"))
-    rows = written(pieces.select(F.struct(*map(_col, own)).alias("row"), checked.alias("len"), F.monotonically_increasing_id().alias("at")), "best-fit").withColumn("task", F.shiftright("at", 33).cast("int"))
+    fits = F.col(quoted(length)).between(1, capacity)
+    checked = F.when(fits, F.col(quoted(length)).cast("int")).otherwise(F.raise_error(F.lit(f"lengths are 1 to {capacity}")).cast("int"))
+    rows = written(pieces.select(F.struct(*(F.col(quoted(n)) for n in own)).alias("row"), checked.alias("len"), F.monotonically_increasing_id().alias("at")), "best-fit").withColumn("task", F.shiftright("at", 33).cast("int"))
     by_task = rows.groupBy("len", "task").agg(F.count("*").alias("n"))
     counts = {r["len"]: r["n"] for r in by_task.groupBy("len").agg(F.sum("n").alias("n")).collect()}
     plan, _ = steps(counts, capacity)
@@ -123,14 +123,6 @@ def best_fit(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY
     return placed.select(*[F.col("row").getField(n).alias(n) for n in own], "p.sequence_id", "p.offset")
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _col(name: str):
-    return F.col(_quoted(name)).alias(name)
-
-
 PIECE = "piece int, start long, length long, ids binary, doc_tokens long"
 
 
@@ -167,7 +159,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
             if rows:
                 yield out()
 
-    return docs.select(F.col(_quoted(doc_id)).alias("doc_id"), F.col(_quoted(text)).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

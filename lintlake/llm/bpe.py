@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import renamed, slices, table, with_fields
+from .common import quoted, renamed, slices, table, with_fields
 from .tokens import DEFAULT_TOKENIZER, WORD_PATTERN, PieceCache, pieces, vocabulary
 
 
@@ -167,16 +167,17 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
 def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """The columns of `encoded` and `decoded`, the text of `ids`; bytes that aren't UTF-8 become U+FFFD. Null ids give an
     empty text. A column that was called `decoded` is replaced."""
-    left = encoded.drop("decoded")
-    at = left.columns.index(ids)
+    names = [c for c in encoded.columns if c != "decoded"]
+    left = encoded.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"), F.col(quoted(ids)).alias("ids"))
 
     def run(batches):
         known = vocabulary(tokenizer).bytes_of
         for batch in batches:
-            for part in slices(batch, at):
-                yield pa.record_batch([*part.columns, _texts(known, part.column(at).to_pylist())], [*part.schema.names, "decoded"])
+            for part in slices(batch, 1):
+                yield pa.record_batch([part.column(0), _texts(known, part.column(1).to_pylist())], ["row", "decoded"])
 
-    return left.mapInArrow(run, with_fields(left.schema, decoded=T.StringType()))
+    decoded = left.mapInArrow(run, with_fields([left.schema["row"]], decoded=T.StringType()))
+    return decoded.select(*(F.col("row").getField(c).alias(c) for c in names), "decoded")
 
 
 def encode_and_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

@@ -52,6 +52,11 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def quoted(name: str) -> str:
+    """The name of a column so that dots and backticks in it stand for themselves."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_fields(fields: Iterable[T.StructField], **more: T.DataType) -> T.StructType:
     """A schema of these fields and then of new ones; as an object, so that any column name will do."""
     return T.StructType([*fields, *(T.StructField(n, t) for n, t in more.items())])

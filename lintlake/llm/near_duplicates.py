@@ -146,19 +146,24 @@ class Leaders:
     """The texts of one prefix, one by one. One that is near no leader before it becomes a leader; each is linked to the
     leader nearest to it and to those within `far` that aren't connected yet."""
 
-    def __init__(self, hashes: int, near: float, far: float):
-        self.hashes, self.near, self.far = hashes, near, far
+    def __init__(self, hashes: int, near: float, far: float, whole: bool = False):
+        """`whole`: what is compared are all 16-bit values, not one bit of each."""
+        self.hashes, self.near, self.far, self.whole = hashes, near, far, whole
+        self.kind = np.uint16 if whole else np.uint64
 
     def start(self, key: bytes, bits: bytes) -> None:
         self.keys, self.raw, self.of = [key], [bits], [0]
         self.matrix = None  # most prefixes have one text
 
     def add(self, key: bytes, bits: bytes) -> list[tuple[bytes, bytes, float]]:
-        n, own = len(self.keys), np.frombuffer(bits, np.uint64)
+        n, own = len(self.keys), np.frombuffer(bits, self.kind)
         if self.matrix is None or n > len(self.matrix):
-            self.matrix = np.zeros((max(4, 2 * n), len(own)), np.uint64)
-            self.matrix[:n] = np.frombuffer(b"".join(self.raw), np.uint64).reshape(n, -1)
-        similar = 1 - 2 * np.bitwise_count(self.matrix[:n] ^ own).sum(1) / self.hashes
+            self.matrix = np.zeros((max(4, 2 * n), len(own)), self.kind)
+            self.matrix[:n] = np.frombuffer(b"".join(self.raw), self.kind).reshape(n, -1)
+        if self.whole:
+            similar = (self.matrix[:n] == own).sum(1) / self.hashes
+        else:
+            similar = 1 - 2 * np.bitwise_count(self.matrix[:n] ^ own).sum(1) / self.hashes
         close = np.flatnonzero(similar >= self.far)
         links, joined = [], set()
         for i in close[np.argsort(-similar[close], kind="stable")].tolist():
@@ -188,22 +193,28 @@ def prefix_links(trees: DataFrame, depth: int, threshold: float, hashes: int) ->
     other's leader. Similarities are read off the signatures' bits, with some slack.
 
     The order is dealt out by ranges of (tree, signature, key), so a prefix that many texts share is cut anywhere; the
-    leaders of the first and last prefix of each range are then linked in the same way.
+    leaders of the first and last prefix of each range are then linked in the same way, by all values of their
+    signatures: these lie further apart, where one bit of each value can't tell them from texts that share nothing.
     """
     ranged = trees.repartitionByRange("tree", "signature", "key").sortWithinPartitions("tree", "signature", "key")
     width, apart = 2 * depth, 1 - threshold
 
     def beyond(distance: float) -> float:
-        """The least similarity that may be read off where the distance is this or less."""
+        """The least similarity that may be read off one bit of each value where the distance is this or less."""
         same = 1 - distance / 2
         return 1 - distance - SLACK * 2 * (same * (1 - same) / hashes) ** 0.5
 
+    def beyond_whole(distance: float) -> float:
+        """The same of whole values. At a threshold of 0.8 this is over 0, where texts that share nothing lie."""
+        same = max(0.0, 1 - distance)
+        return same - SLACK * (same * (1 - same) / hashes) ** 0.5
+
     names, schema = ["a", "b", "similarity", "tree", "prefix", "bits"], "a binary, b binary, similarity double, tree int, prefix binary, bits binary"
     types = [pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
 
     def linked(far: float, ends: bool):
         def run(batches):
-            leaders, group, first = Leaders(hashes, threshold, far), None, True
+            leaders, group, first = Leaders(hashes, threshold, far, whole=not ends), None, True
             rows: list[tuple] = []
 
             def end() -> None:
@@ -235,8 +246,12 @@ def prefix_links(trees: DataFrame, depth: int, threshold: float, hashes: int) ->
 
     found = written(ranged.mapInArrow(linked(beyond(2 * apart), True), schema), "links")
     # a leader of a range stands for texts near it, so between leaders the distance may be twice as much again
-    ends = found.filter("prefix is not null").select("tree", F.col("prefix").alias("signature"), "bits", F.col("a").alias("key"))
-    across = ends.repartition("tree", "signature").sortWithinPartitions("tree", "signature", "key").mapInArrow(linked(beyond(4 * apart), False), schema)
+    ends = found.filter("prefix is not null").select("tree", F.col("prefix").alias("signature"), F.col("a").alias("key"))
+    values = trees.join(ends.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("tree", F.hex("signature").alias("s")))).alias("parts"))
+    whole = values.select("key", F.unhex(F.array_join(F.col("parts.s"), "")).alias("bits"))
+    met_again = ends.groupBy("tree", "signature").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "signature")
+    several = ends.join(met_again, ["tree", "signature"], "left_semi").join(whole, "key").select("tree", "signature", "bits", "key")
+    across = several.repartition("tree", "signature").sortWithinPartitions("tree", "signature", "key").mapInArrow(linked(beyond_whole(4 * apart), False), schema)
     links = found.filter("prefix is null").unionByName(across).filter("a != b")
     return links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -359,6 +374,8 @@ def near_duplicates(
 
     Words are taken as they stand. Documents without words (null, empty or blank) are alike to none, not even to each
     other: class_id is their own doc_id. Null and repeated doc_ids stay; a class without any id has a null class_id.
+    An empty table stays empty; long texts are shingled whole, one at a time; other columns are not read. At thresholds
+    under 0.8 leaders of different task ranges can't be told from unlike ones by their distance, and more texts are compared.
     """
     keyed = _keyed(docs, text)
     copies = docs.select(F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("key"), F.col(doc_id).alias("doc_id"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, join_small_or_shuffled, slices, table, with_fields, written
+from .common import BROADCAST_ROWS, join_small_or_shuffled, quoted, slices, table, with_fields, written
 
 RUN = 1
 BUCKETS = 10_000
@@ -63,7 +63,7 @@ def feature_counts(docs: DataFrame, text: str = "text", longest: int = RUN) -> D
         if seen:
             yield pa.record_batch([_strings(list(seen)), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
-    return docs.select(F.col(_quoted(text)).cast("string").alias("t")).mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def dictionary(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", longest: int = RUN, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
@@ -124,7 +124,7 @@ def weights(
                     ["row", "n_words", "n_features", "weight", "rest"],
                 )
 
-    rows = docs.select(F.struct(*[F.col(_quoted(n)) for n in (docs.columns if carry is None else carry)]).alias("row"), F.col(_quoted(text)).cast("string").alias("t"))
+    rows = docs.select(F.struct(*[F.col(quoted(n)) for n in (docs.columns if carry is None else carry)]).alias("row"), F.col(quoted(text)).cast("string").alias("t"))
     schema = with_fields([rows.schema["row"], *StructType.fromDDL("n_words long, n_features long, weight long, rest array<struct<feature: string, n: long>>")])
     counted = written(rows.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), "weights")
     others = counted.select("at", F.explode("rest").alias("r")).select("at", "r.feature", F.col("r.n").alias("times"))
@@ -161,10 +161,6 @@ def resample(weighted: DataFrame, doc_id: str = "doc_id", percent: int = PERCENT
     return numbered.select("row", "n_words", "n_features", "weight", "score", F.when(fit & (rank <= drawn), rank).alias("rank"))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards `benchmark`, and its rank if it was drawn."""
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small_or_shuffled, shared_dir, table, written
+from .common import join_small_or_shuffled, quoted, shared_dir, table, written
 
 SHARD_BYTES = 16 << 20
 #: Bits of the first fine prefix, bits that a further round adds, and bits of a hash.
@@ -25,7 +25,7 @@ FIXED_BYTES = 16
 
 def hash_of(*keys: str) -> F.Column:
     """The first 60 bits of an md5 over the keys; a null differs from an empty string."""
-    text = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys))
+    text = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(quoted(k)).cast("string")), F.lit("-")) for k in keys))
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -67,13 +67,16 @@ def assign_shards(rows: DataFrame, size: str, keys: list[str], limit: int = SHAR
 
     `size` is a column of bytes (null: 0) and `keys` are the hashed columns; nulls hash like any value, equal rows
     go together. No shard or page exceeds `limit`, but for a single row that does, which has one of its own. An empty
-    table gives an empty table. Columns of these names, and `hash`, are replaced. `rows` is read twice, the first time only
-    `size` and `keys`; what no prefix of a round parts is written in between.
+    table gives an empty table. Columns of the three names are replaced, all others stay, whatever they are called;
+    nulls in `size` become 0. `rows` is read twice, the first time only `size` and `keys`; what no prefix of a round
+    parts is written in between.
     """
-    left = rows.drop("depth", "shard", "overflow", "hash").withColumn("hash", hash_of(*keys)).withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    names = [c for c in rows.columns if c not in ("depth", "shard", "overflow")]
+    n_bytes = F.coalesce(F.col(quoted(size)), F.lit(0)).cast("long")
+    left = rows.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"), hash_of(*keys).alias("hash"), n_bytes.alias("bytes"))
     out, low, high = None, 0, min(first_bits, HASH_BITS)
     while True:
-        cells = left.groupBy(_prefix(high).alias("cell")).agg(F.sum(size).alias("bytes"))
+        cells = left.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes"))
         found = written(_directory(cells, low, high, limit), "directory")
         placed = join_small_or_shuffled(left.withColumn("cell", _prefix(high)), found, "cell", "inner").drop("cell")
         done = placed.filter("depth is not null").withColumn("overflow", F.lit(0).cast("long"))
@@ -82,12 +85,13 @@ def assign_shards(rows: DataFrame, size: str, keys: list[str], limit: int = SHAR
         if found.filter("depth is null").limit(1).count() == 0:
             break
         if high == HASH_BITS:
-            pages = _pages(written(rest, "inseparable"), size, limit).withColumn("depth", F.lit(HASH_BITS))
+            pages = _pages(written(rest, "inseparable"), "bytes", limit).withColumn("depth", F.lit(HASH_BITS))
             out = out.unionByName(pages.select(*out.columns))
             break
         left, low, high = written(rest, "oversized"), high + 1, min(HASH_BITS, high + round_bits)
     bits = F.lpad(F.conv(_prefix("depth").cast("string"), 10, 2), F.col("depth"), "0")
-    return out.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(bits)).drop("hash")
+    kept = ((F.col("bytes") if c == size else F.col("row").getField(c)).alias(c) for c in names)
+    return out.select(*kept, "depth", "overflow", F.when(F.col("depth") == 0, F.lit("")).otherwise(bits).alias("shard"))
 
 
 def shard_sizes(assigned: DataFrame, size: str) -> DataFrame:

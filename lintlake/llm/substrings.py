@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small_or_shuffled, renamed, slices, table, with_fields, written
+from .common import join_small_or_shuffled, quoted, renamed, slices, table, with_fields, written
 from .words import anchors, chunks, digest_of, mixed, signed
 
 #: Fixed values of the contract.
@@ -279,11 +279,13 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def strip_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
     """`docs` with its columns, texts without repeated windows and their new length in `n_chars`. Documents stay even
-    if no word is left; a null text becomes empty."""
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != text), F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"))
+    if no word is left; a null text becomes empty. Any other columns may be there, whatever they are called; equal rows
+    lose the same words. An empty table stays empty."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != text] or [F.lit(0)]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(quoted(text)).alias("text"))
     done = without_spans(rows, repeated_spans(docs, text, **how), as_it_was=True)
     new = {text: F.col("kept"), n_chars: F.char_length("kept").cast("long")}
-    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return done.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def strip_reference(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id", text: str = "text", reference_text: str = "text", window: int = WINDOW) -> DataFrame:

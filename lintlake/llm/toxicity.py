@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bind, join_small_or_shuffled, slices, table, with_fields, written
+from .common import bind, join_small_or_shuffled, quoted, slices, table, with_fields, written
 
 #: Labelled rows that are learned from at most, those with the least hashes of doc_id; the model's only sample.
 MAX_LABELLED = 20_000
@@ -46,8 +46,6 @@ REPORTS = "said says say called calls wrote writes quoted claims claimed reporte
 KINDS = ("insult", "insult_target", "threat", "threat_target", "negated", "reported")
 #: Words that a target or a negation reaches, either way.
 TARGET_REACH, NEGATION_REACH = 5, 3
-#: Arcs of a kind that count in one text at most; more say no more.
-MOST_ARCS = 4
 #: A bias and the weights of arcs by kind, towards which the fit is drawn.
 PRIOR = np.array([-2.0, 1.5, 2.5, 0.2, 2.0, 0.1, 0.1])
 PRIOR_STRENGTH = 0.5
@@ -157,7 +155,8 @@ class Grammar:
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(counts), 1)), np.minimum(counts, MOST_ARCS)], 1)
+    """A one and log2(1 + arcs) of each kind: every further arc says more, but less than the one before."""
+    return np.concatenate([np.ones((len(counts), 1)), np.log2(1 + counts)], 1)
 
 
 def weigh(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -189,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_id is not null and _toxic is not null").filter(~is_held_out("_id"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_toxic").limit(max_labelled)
     # as many rows as the parameter says; written, since they are read three times
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", F.col("_toxic").cast("int").alias("_toxic"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(quoted(text)).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", F.col("_toxic").cast("int").alias("_toxic"))
     rows = written(rows, "labelled")
     learned = _lexicon(rows)
 
@@ -241,18 +240,21 @@ def _lexicon(rows: DataFrame) -> list[str]:
 
 def score(docs: DataFrame, learned: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:
     """`docs` with `counts` (arcs by kind) and `score` from 0 to 1. A null or empty text has no sentence. Columns that were
-    called `counts` or `score` are replaced; texts of any length are read whole, in slices bounded in bytes."""
-    left = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("counts", "score")), F.col(f"`{text}`").cast("string").alias("_scored"))
+    called `counts` or `score` are replaced, others stay, whatever they are called; texts of any length are read whole,
+    in slices bounded in bytes. Equal rows score alike; an empty table stays empty."""
+    names = [c for c in docs.columns if c not in ("counts", "score")]
+    left = docs.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"), F.col(quoted(text)).cast("string").alias("text"))
 
     def run(batches):
         grammar = Grammar(learned)
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                counts = [grammar.counts(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            for part in slices(batch, 1):
+                counts = [grammar.counts(t) for t in part.column(1).to_pylist()]
                 scores = weigh(np.array(counts, float).reshape(-1, len(KINDS)), weights)
-                yield pa.record_batch([*part.columns[:-1], pa.array(counts, pa.list_(pa.int32())), pa.array(scores)], [*part.schema.names[:-1], "counts", "score"])
+                yield pa.record_batch([part.column(0), pa.array(counts, pa.list_(pa.int32())), pa.array(scores)], ["row", "counts", "score"])
 
-    return left.mapInArrow(run, with_fields(left.schema[:-1], counts=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
+    scored = left.mapInArrow(run, with_fields([left.schema["row"]], counts=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
+    return scored.select(*(F.col("row").getField(c).alias(c) for c in names), "counts", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,5 +267,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that score under 0.5, with the columns of `docs`; repeated rows stay or go together, a null text
     stays."""
-    scored = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), *learn(docs, labels, text=text))
+    scored = score(docs.select(F.struct("*").alias("row"), F.col(quoted(text)).alias("text")), *learn(docs, labels, text=text))
     return scored.filter("score < 0.5").select("row.*")

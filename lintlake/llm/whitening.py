@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, with_fields, written
+from .common import quoted, table, with_fields, written
 
 #: Steps of the grid in one unit, and what is added.
 SCALE, SHIFT = 1024, 100_000
@@ -63,16 +63,12 @@ def on_grid(df: DataFrame, vector: str = "embedding", carry: list[str] | None =
 
     Rows go whose vector is null or empty, or holds a null, an entry that isn't finite, or one of 2^42 or more in
     size (no double holds its place)."""
-    v = F.col(_quoted(vector))
+    v = F.col(quoted(vector))
     good = F.coalesce(F.forall(v, lambda c: F.coalesce(F.abs(c.cast("double")) < _LARGEST, F.lit(False))), F.lit(False)) & (F.size(v) > 0)
-    kept = [F.col(_quoted(n)) for n in (df.columns if carry is None else carry)]
+    kept = [F.col(quoted(n)) for n in (df.columns if carry is None else carry)]
     return df.where(good).select(F.struct(*kept).alias("row"), F.transform(v, lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT).alias("grid"))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Exact sums of a task's vectors for each number of dimensions: 32-bit halves are added apart, so none overflows."""
     found: dict[int, list] = {}

@@ -18,11 +18,11 @@ from lintlake.llm.tokens import DEFAULT_TOKENIZER
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, key string, row int, words int, class_id int, signature string, hash string, depth int, "
-    "score string, counts string, m string, kept string, `a b` string, ids string, decoded string, base_failed string, shard string, overflow string"
+    "score string, counts string, m string, kept string, `a b` string, ids string, decoded string, base_failed string, shard string, overflow string, `a.b` string, `_` string, cell string, bytes string"
 )
 
 
-CLASHES = ("x",) * 10
+CLASHES = ("x",) * 14
 
 
 def rows_of():
@@ -36,7 +36,7 @@ def rows_of():
         words(30_000), "Ünïcödé     wörds 🙂 " * 20, "<|endoftext|> don't  stop\r\n\r\n  now", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", words(60), words(60) + " ####",
     ]
     rows = [(i, t, "en", "h1" if i % 2 else None, len(t or ""), "k", 1, 2, 3, "s", "h", 9, *CLASHES) for i, t in enumerate(texts)]
-    return [*rows, (None, base, *[None] * 20), rows[6]]
+    return [*rows, (None, base, *[None] * 24), rows[6]]
 
 
 @pytest.fixture(scope="module")
@@ -200,6 +200,14 @@ def test_grammar_against_plain_rules():
         assert grammar.counts(text) == plain_kinds(text), text
 
 
+def test_further_arcs_count():
+    """A text with more threats scores higher, however many there are."""
+    counts = np.zeros((6, len(toxicity.KINDS)))
+    counts[:, toxicity.KINDS.index("threat_target")] = [0, 1, 4, 5, 40, 400]
+    scores = toxicity.weigh(counts, toxicity.PRIOR)
+    assert (np.diff(scores) > 0).all()
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = odd.select("doc_id", F.lit(0).alias("toxic"))
     model = toxicity.learn(odd, labels)
@@ -308,6 +316,26 @@ def test_prefixes_are_shortened(spark):
     assert close[0] > 0.9995 and far[0] < 0.9995 < far[1]
 
 
+def test_unlike_texts_of_one_prefix_stay_unlinked(spark):
+    """Depth 0: all texts share the prefix, over all ranges. Only alike ones may be linked, in whichever range they are."""
+    r, rows = random.Random(5), []
+    for i in range(2000):
+        rows.append((i, " ".join(f"w{r.randrange(10**6)}" for _ in range(60))))
+    pairs = []
+    for i in range(0, 200, 2):  # near copies lie in other ranges than their texts, as signatures differ
+        words = rows[i][1].split(" ")
+        words[30 + i % 20] = "changed"
+        pairs.append((rows[i][1], " ".join(words)))
+        rows.append((5000 + i, " ".join(words)))
+    keyed = near_duplicates._keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "text")
+    trees = near_duplicates.written(near_duplicates.forest(keyed, 5, 24, 8).filter("tree = 3"), "forest")
+    links = near_duplicates.prefix_links(trees, 0, 0.8, 192).collect()
+    key = {t: hashlib.md5(t.encode()).digest() for _, t in rows}
+    alike = {frozenset((key[a], key[b])) for a, b in pairs}
+    assert alike <= {frozenset((bytes(x.a), bytes(x.b))) for x in links}
+    assert len(links) < 1.5 * len(alike)  # of 2,200,000 pairs; within a range one bit of each value may mislead
+
+
 def test_leaders_keep_alike_texts_connected():
     r = random.Random(8)
     bits = [np.array([r.getrandbits(64) for _ in range(3)], np.uint64) for _ in range(4)]
@@ -486,6 +514,12 @@ def test_sharding(odd, none):
     assert sharding.assign_shards(none.select("doc_id", F.lit(1).alias("n")), "n", ["doc_id"]).count() == 0
 
 
+def test_sharding_keeps_all_columns(odd):
+    out = sharding.assign_shards(odd, "n_chars", ["doc_id", "a.b"], limit=5000, first_bits=2, round_bits=2)
+    assert out.columns == [*(c for c in odd.columns if c not in ("depth", "shard", "overflow")), "depth", "overflow", "shard"]
+    assert {(r["a.b"], r["_"], r.cell, r.hash, r.bytes) for r in out.collect()} == {("x",) * 3 + ("h", "x"), (None,) * 5}
+
+
 @pytest.mark.parametrize("size", [100, 300, 999, 1000, 1500])
 def test_pages_of_equal_rows_keep_the_limit(spark, size):
     rows = spark.range(50).select(F.lit(1).alias("k"), F.lit(size).alias("n"))
