@@ -24,6 +24,21 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/{2,}", "/"), r"^(\./)+", "")
 
 
+def worked_out(path: Column) -> Column:
+    """`.` and `..` worked out, however many there are; `..` stays where nothing is left to leave, and goes at an absolute root."""
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        return (
+            F.when(part == ".", done)
+            .when((part == "..") & (last == "") & (F.size(done) == 1), done)
+            .when((part == "..") & F.coalesce(last != "..", F.lit(False)), F.slice(done, 1, F.size(done) - 1))
+            .otherwise(F.array_append(done, part))
+        )
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

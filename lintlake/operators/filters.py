@@ -52,20 +52,20 @@ def one_of_overlaps(findings: DataFrame) -> DataFrame:
     """Of the findings that share an overlap group and a scope (`overlap_scope` if there is such a column and it isn't empty, else
     the context) the strongest stays, with the rules it stood over. Findings without a group or a scope stay as they are.
 
-    One grouping over all findings: those without a group have a key of their own, and the strongest is found on the map side
-    first, so a context that many findings share is in no one task.
+    One grouping over all findings: each one without a group has a key of its own, so equal ones stay apart, and the strongest
+    is found on the map side first, so a context that many findings share is in no one task.
     """
     scope = F.coalesce("context", F.lit(""))
     if "overlap_scope" in findings.columns:
         scope = F.coalesce(F.nullif(F.trim("overlap_scope"), F.lit("")), scope)
     grouped = (F.coalesce("overlap_group", F.lit("")) != "") & (F.trim(scope) != "")
-    keyed = findings.select(
-        F.when(grouped, F.struct(F.col("overlap_group").alias("group"), F.trim(scope).alias("scope"), F.lit("").alias("own")))
-        .otherwise(F.struct(F.lit("").alias("group"), F.lit("").alias("scope"), F.concat_ws("\x1f", "file", F.col("line").cast("string"), "rule_id", "context").alias("own"))).alias("key"),
+    keyed = findings.withColumn("_nth", F.monotonically_increasing_id()).select(
+        F.when(grouped, F.struct(F.col("overlap_group").alias("group"), F.trim(scope).alias("scope"), F.lit(-1).cast("long").alias("own")))
+        .otherwise(F.struct(F.lit("").alias("group"), F.lit("").alias("scope"), F.col("_nth").alias("own"))).alias("key"),
         F.struct(
             -F.col("overlap_rank"), -lookup(CLASSIFICATION_RANK, "classification", 0), -lookup(SEVERITY_RANK, "severity", 0), -F.col("confidence"), -F.col("score_impact"), "rule_ord", "file", "line"
         ).alias("weakness"),
-        F.struct("*").alias("row"), "rule_id",
+        F.struct(*(F.col(f"`{c}`") for c in findings.columns)).alias("row"), "rule_id",
     )
     best = keyed.groupBy("key").agg(F.min_by("row", "weakness").alias("row"), F.collect_set("rule_id").alias("rules"))
     return best.select("row.*", F.array_sort(F.filter("rules", lambda r: r != F.col("row.rule_id"))).alias("suppressed_rules"))

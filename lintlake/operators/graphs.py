@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions import worked_out
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder that spark.checkpoint.dir names; a plain checkpoint-free plan where none is."""
@@ -20,10 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared(df: DataFrame) -> None:
-    """Sees to it that `cut` cuts: rounds without end need written tables. A folder of our own only where none is named."""
+def shared(df: DataFrame) -> None:
+    """Sees to it that `cut` cuts: rounds without end need written tables. Where no folder is named, a local session gets one
+    of its own; on a cluster that is an error, since each machine would have another."""
     conf = df.sparkSession.conf
     if not conf.get("spark.checkpoint.dir", None):
+        if not conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -41,7 +46,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = 20) -> Da
     """(start, node, depth): the shortest number of steps, at most `max_depth`, or any where that is None. `starts` has
     a column node."""
     if max_depth is None:
-        _shared(edges)
+        shared(edges)
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     front = seen
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
@@ -84,7 +89,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     Exact at any length. Each round gives a node the least node that reaches it; a node that keeps its own name is the
     root of a component, which holds those of its name that reach it in turn. Edges between names, and those of found
     components, fall away, until no edge is left. Tables stay as long as the nodes and edges; rounds grow with paths."""
-    _shared(edges)
+    shared(edges)
     edges = _trimmed(cut(simple(edges)))
     found = None
     while not edges.isEmpty():
@@ -132,10 +137,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, st
     full = F.when(F.col("target").rlike(r"^\.{1,2}/"), F.concat(folder, "target"))
     for alias, to in (aliases or {}).items():
         full = full.when(F.col("target").startswith(alias), F.concat(F.lit(to), F.substring("target", len(alias) + 1, 1 << 20)))
-    plain = F.regexp_replace(full, r"(^|/)(\./)+", "$1")
-    for _ in range(8):  # a/../b is b
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    tried = imports.withColumn("full", plain).filter("full is not null").select("path", "target", F.posexplode(F.array(*(F.concat("full", F.lit(x)) for x in suffixes))).alias("nth", "file"))
+    tried = imports.withColumn("full", worked_out(full)).filter("full is not null").select("path", "target", F.posexplode(F.array(*(F.concat("full", F.lit(x)) for x in suffixes))).alias("nth", "file"))
     found = tried.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
     return found.groupBy("path", "target").agg(F.min_by("file", "nth").alias("file"))
 
@@ -143,7 +145,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, st
 def ancestors(children: DataFrame) -> DataFrame:
     """(node, root, depth) of each node in a hierarchy (node, parent): pointers double each round until none moves, or until they
     have gone further than there are nodes; those that still move lie on or under a cycle, have no root and are left out."""
-    _shared(children)
+    shared(children)
     rounds = children.count().bit_length() + 1
     at = cut(children.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     for _ in range(rounds):

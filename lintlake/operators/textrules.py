@@ -121,9 +121,6 @@ _REQUEST = r"(\$request->|request\(|\$_(GET|POST|REQUEST)|Input::get)"
 
 RULES = [
     # security of PHP sources
-    TextRule("ssrf-risk-http-client", "security", "high", "risk", 0.85, "php", rf"(Http::\w+\([^;]*{_REQUEST}|curl_init\([^;]*{_REQUEST}|file_get_contents\(\s*{_REQUEST})", (_P, "Http::get($request->input('url'));"), (_P, "Http::get('https://api.example.com');"), unless=r"allowed_?hosts|allowlist|whitelist"),
-    TextRule("path-traversal-file-access", "security", "high", "risk", 0.85, "php", rf"(Storage::(get|put|delete|path)|fopen|readfile|file_get_contents|unlink)\([^;]*{_REQUEST}", (_P, "readfile(storage_path($request->file));"), (_P, "readfile(storage_path('a.txt'));"), unless=r"basename\(|realpath\("),
-    TextRule("insecure-file-download-response", "security", "high", "risk", 0.85, "php", rf"(response\(\)->(download|file)|Storage::download)\([^;]*{_REQUEST}", (_C, "return response()->download($request->input('path'));"), (_C, "return response()->download($invoice->path);"), unless=r"basename\(|realpath\(|authorize\("),
     TextRule("sanctum-token-scope-missing", "security", "medium", "risk", 0.8, "php", r"->createToken\(\s*[^,()]+\)", (_C, "$user->createToken('web');"), (_C, "$user->createToken('web', ['read']);")),
     TextRule("session-fixation-regenerate-missing", "security", "high", "risk", 0.85, "controllers", r"Auth::(attempt|login)\(", (_C, "if (Auth::attempt($data)) { return redirect('/'); }"), (_C, "Auth::attempt($data); $request->session()->regenerate();"), unless=r"session\(\)->regenerate|Session::regenerate", whole=True),
     TextRule("weak-password-policy-validation", "security", "medium", "risk", 0.8, "php", r"'password'\s*=>\s*('[^']*min:[1-7]\b[^']*'|\[[^\]]*'min:[1-7]')", (_C, "'password' => 'required|min:6',"), (_C, "'password' => ['required', Password::min(12)],")),
@@ -135,7 +132,6 @@ RULES = [
     TextRule("cookie-samesite-missing", "security", "high", "risk", 0.78, "config", r"'same_site'\s*=>\s*(null|'none')", ("config/session.php", "'same_site' => null,"), ("config/session.php", "'same_site' => 'lax',")),
     TextRule("unsafe-csp-policy", "security", "high", "risk", 0.9, "php", r"Content-Security-Policy.*unsafe-(inline|eval)", (_P, "$r->headers->set('Content-Security-Policy', \"script-src 'unsafe-inline'\");"), (_P, "$r->headers->set('Content-Security-Policy', \"script-src 'self'\");")),
     TextRule("cors-misconfiguration", "security", "high", "risk", 0.9, "config", r"'(allowed_origins|allowed_origins_patterns)'\s*=>\s*\[\s*'(\*|\.\*)'", ("config/cors.php", "'allowed_origins' => ['*'],"), ("config/cors.php", "'allowed_origins' => ['https://a.example'],")),
-    TextRule("insecure-deserialization", "security", "high", "risk", 0.85, "php", rf"unserialize\([^;]*({_REQUEST}|\$cookie|base64_decode)", (_P, "$x = unserialize($request->data);"), (_P, "$x = json_decode($request->data);"), skip=r"allowed_classes'?\s*=>\s*(false|\[)"),
     TextRule("insecure-random-for-security", "security", "medium", "risk", 0.75, "php", r"(token|password|secret|otp|nonce|salt|code)\w*\s*=[^;]*\b(mt_rand|rand|uniqid)\s*\(", (_P, "$token = md5(rand());"), (_P, "$token = bin2hex(random_bytes(16));")),
     TextRule("sensitive-data-logging", "observability", "high", "risk", 0.9, "php", r"(Log::\w+|logger)\([^;]*(\$password|\$token|\$secret|->password\b|'password'|credit_?card|api_key)", (_P, "Log::info('login', ['password' => $p]);"), (_P, "Log::info('login', ['id' => $id]);"), skip=r"\*{3}|redact|mask"),
     TextRule("timing-attack-token-comparison", "security", "high", "risk", 0.9, "php", r"\$\w*(token|signature|hash|hmac)\w*\s*(===|==|!==|!=)\s*\$", (_P, "if ($signature === $expected) {}"), (_P, "if (hash_equals($signature, $expected)) {}")),

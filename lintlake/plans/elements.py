@@ -21,15 +21,13 @@ def page_classes(s, d):
 
 
 def jsx_rule_findings(s, d):
-    """What each element rule finds in its own two samples."""
+    """What all element rules find in the samples of all of them."""
     samples = s.createDataFrame([(f"{side}-{r.rule_id}", getattr(r, side)) for r in jsx.RULES for side in ("hit", "miss")], "name string, body string")
     suppliers = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name")
     # the samples are the operator's constants
     both = suppliers.crossJoin(F.broadcast(samples))
     sources = both.select(F.concat(F.col("name"), F.lit("/"), F.col("s_suppkey").cast("string")).alias("path"), F.concat(F.lit("// "), F.col("s_name"), F.lit("\n"), F.col("body")).alias("content"))
-    own = jsx.scan_elements(sources).filter(F.substring_index("file", "/", 1).isin(*(f"{side}-{r.rule_id}" for r in jsx.RULES for side in ("hit", "miss"))))
-    own = own.filter(F.regexp_extract("file", r"^(?:hit|miss)-([^/]+)/", 1) == F.col("rule_id"))
-    return own.groupBy("file", "rule_id", "severity").agg(F.min("line").alias("line"))
+    return jsx.scan_elements(sources).groupBy("file", "rule_id", "severity").agg(F.min("line").alias("line"))
 
 
 _TAGS = r"<([A-Za-z][A-Za-z0-9]*)((?:\s+[^<>]*)?)>"

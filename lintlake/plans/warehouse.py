@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import changes, filters, graphs, remediation, ruleset
 
-#: Edges of a small dependency graph with two cycles; fixed values of the queries below.
-EDGES = (("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "g"))
-
-
 def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -153,16 +149,21 @@ def ruleset_overlay(s, d):
     return ruleset.overlaid(base, user)
 
 
-def _edges(s):
-    return graphs.simple(s.createDataFrame(EDGES, "src string, dst string"))
+def _edges(s, d):
+    """Edges between nations, by how many customers and suppliers each has."""
+    owed = _t(s, d, "customer").groupBy(F.col("c_nationkey").alias("src")).agg(F.count("*").alias("n"))
+    lent = _t(s, d, "supplier").groupBy(F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("m"))
+    # a row a nation on either side
+    return graphs.simple(owed.join(F.broadcast(lent), F.expr("pmod(n * 7 + src, 25) = dst or pmod(m * 11 + dst, 25) = src")))
 
 
 def scc(s, d):
-    return graphs.cycles(_edges(s))
+    return graphs.cycles(_edges(s, d))
 
 
 def bfs(s, d):
-    return graphs.reach(_edges(s), s.createDataFrame([("f",), ("d",)], "node string")).select("start", "node", "depth")
+    e = _edges(s, d)
+    return graphs.reach(e, e.agg(F.min("src").alias("node"))).select("start", "node", "depth")
 
 
 def _part_edges(s, d):
@@ -178,10 +179,11 @@ def dep_bfs(s, d):
     return graphs.reach(e, e.agg(F.max("src").alias("node")), max_depth=None).select("start", "node", "depth")
 
 
-_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in EDGES if a != b)
 _E = "e AS (SELECT DISTINCT l_partkey % 97 AS src, l_suppkey % 89 AS dst FROM lineitem WHERE l_partkey % 97 <> l_suppkey % 89)"
 _CONFIG = ", ".join(f"('NATION_{i}', {str(i % 3 != 0).lower()})" for i in range(0, 25, 2))
-_CLOSURE = f"e(src, dst) AS (VALUES {_VALUES}), r(a, b, n) AS (SELECT src, dst, 1 FROM e UNION SELECT a, dst, n + 1 FROM r JOIN e ON b = src WHERE n < 20)"
+_CLOSURE = """o AS (SELECT c_nationkey AS src, count(*) AS n FROM customer GROUP BY ALL), l AS (SELECT s_nationkey AS dst, count(*) AS m FROM supplier GROUP BY ALL),
+e AS (SELECT DISTINCT src, dst FROM o JOIN l ON (n * 7 + src) % 25 = dst OR (m * 11 + dst) % 25 = src WHERE src <> dst),
+r(a, b, n) AS (SELECT src, dst, 1 FROM e UNION SELECT a, dst, n + 1 FROM r JOIN e ON b = src WHERE n < 25)"""
 
 _PARTS = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
 
@@ -229,7 +231,7 @@ SELECT file, line, 'rule-' || (k % 4 % 3) AS rule_id FROM o CROSS JOIN (VALUES (
 WHERE NOT (holds AND k % 3 = k % 4 % 3 AND (k % 2 <> 0 OR line = 2))""",
     "ruleset_overlay": "SELECT n_name AS rule_id, CASE WHEN n_nationkey % 4 = 0 THEN n_regionkey + 10 ELSE n_regionkey END AS level FROM nation",
     "scc": f"WITH RECURSIVE {_CLOSURE}, p AS (SELECT DISTINCT a, b FROM r) SELECT x.a AS node, least(min(x.b), x.a) AS component FROM p x JOIN p y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
-    "bfs": f"WITH RECURSIVE {_CLOSURE} SELECT a AS start, b AS node, CASE WHEN a = b THEN 0 ELSE min(n) END AS depth FROM r WHERE a IN ('f', 'd') GROUP BY a, b UNION SELECT 'f', 'f', 0",
+    "bfs": f"WITH RECURSIVE {_CLOSURE} SELECT a AS start, b AS node, CASE WHEN a = b THEN 0 ELSE min(n) END AS depth FROM r WHERE a = (SELECT min(src) FROM e) GROUP BY a, b UNION SELECT min(src), min(src), 0 FROM e HAVING min(src) IS NOT NULL",
     "dep_scc": f"""WITH RECURSIVE {_PARTS}, r(a, b) AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) UNION SELECT a, dst FROM r JOIN e ON b = src)
 SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""",
     "dep_bfs": f"""WITH RECURSIVE {_PARTS}, t AS (SELECT max(src) AS a FROM e), m AS (SELECT count(DISTINCT dst) AS n FROM e),

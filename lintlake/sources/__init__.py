@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions import base_name, extension, ignore_glob, is_test_path, normal_path
+from lintlake.functions import base_name, extension, ignore_glob, is_test_path, normal_path, worked_out
 
 #: What a scan reads, and the caps that its semantics have.
 PHP, JS = (".php", ".blade.php", ".inc", ".phtml", ".module", ".php5"), (".js", ".jsx", ".ts", ".tsx")
@@ -64,11 +64,8 @@ def sarif(findings: DataFrame, results: int = 5000) -> DataFrame:
 
 
 def inside(files: DataFrame, root: str) -> DataFrame:
-    """Files whose path, once `.` and `..` are worked out, lies under root."""
-    plain = normal_path(F.col("path"))
-    for _ in range(8):
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return files.withColumn("path", plain).filter(F.col("path").startswith(root.rstrip("/") + "/"))
+    """Files whose path, once `.` and `..` are worked out at whatever depth, lies under root."""
+    return files.withColumn("path", worked_out(normal_path(F.col("path")))).filter(F.col("path").startswith(root.rstrip("/") + "/"))
 
 
 def test_files(files: DataFrame, most: int = 10_000) -> DataFrame:
