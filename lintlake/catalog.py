@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lintlake.plans import bodies, code, corpus, elements, flows, rules, texts, warehouse
+from lintlake.plans import bodies, code, contracts, corpus, elements, flows, rules, texts, warehouse
 
-_PLANS = (bodies, code, corpus, elements, flows, rules, texts, warehouse)
+_PLANS = (bodies, code, contracts, corpus, elements, flows, rules, texts, warehouse)
 
 
 def queries() -> dict:

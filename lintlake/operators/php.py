@@ -12,7 +12,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -139,7 +139,7 @@ def methods(declared: DataFrame) -> DataFrame:
     """(path, class, name, visibility, is_static, params, types, calls, created, thrown, body, quiet, lines and measures)"""
     head = F.col("head")
     m = declared.filter("kind = 'function' and owner is not null").select(
-        "path", "ord", F.col("owner").alias("class"), "name", F.coalesce(F.nullif(F.regexp_extract(head, r"\b(public|protected|private)\b", 1), F.lit("")), F.lit("public")).alias("visibility"),
+        "path", "ord", "head", F.col("owner").alias("class"), "name", F.coalesce(F.nullif(F.regexp_extract(head, r"\b(public|protected|private)\b", 1), F.lit("")), F.lit("public")).alias("visibility"),
         head.rlike(r"\bstatic\b.*\bfunction\b").alias("is_static"), F.regexp_extract_all(head, F.lit(r"\$(\w+)"), 1).alias("params"),
         F.regexp_extract_all(head, F.lit(r"([A-Z\\][\w\\]*)\s+\$\w+"), 1).alias("types"), F.nullif(F.regexp_extract(head, r"\)\s*:\s*([\w\\|?]+)", 1), F.lit("")).alias("returns"),
         F.array_distinct(F.regexp_extract_all("quiet", F.lit(CALL), 1)).alias("calls"), F.array_distinct(F.regexp_extract_all("quiet", F.lit(r"\bnew\s+([A-Z\\][\w\\]*)"), 1)).alias("created"),
@@ -183,19 +183,28 @@ def dependencies(classes_: DataFrame, methods_: DataFrame) -> DataFrame:
     return found.withColumn("raw", F.regexp_replace("raw", r"^\\", "")).distinct()
 
 
+def listed(text: Column, call: str, key: str) -> Column:
+    """The strings that a call `call('a')`, `call(['a', 'b'])` or a key `'key' => ...` of an older group gives."""
+    value = r"(\[[^\]]*\]|'[^']*')"
+    found = F.concat(F.regexp_extract_all(text, F.lit(rf"\b{call}\(\s*{value}"), 1), F.regexp_extract_all(text, F.lit(rf"'{key}'\s*=>\s*{value}"), 1))
+    return F.flatten(F.transform(found, lambda x: F.regexp_extract_all(x, F.lit("'([^']*)'"), 1)))
+
+
 def routes(sources: DataFrame) -> DataFrame:
-    """(path, line, verb, uri, controller, action, middleware, is_closure): groups around a route lend it prefix and middleware."""
+    """(path, line, verb, uri, name, controller, action, middleware, is_closure): groups around a route lend it prefix, name and
+    middleware, as calls or as an array of options; an action may also be written as 'Controller@action'."""
     s = each_file(sources, _statements, STATEMENTS)
-    quoted = lambda text, call: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"{call}\(\s*(\[[^\]]*\]|'[^']*')"), 1), lambda x: F.regexp_extract_all(x, F.lit("'([^']*)'"), 1)))
-    prefixes = F.flatten(F.transform("heads", lambda h: quoted(h, r"\bprefix")))
+    within = lambda call, key: F.flatten(F.transform("heads", lambda h: listed(h, call, key)))
+    first = lambda *patterns: F.coalesce(*(F.nullif(F.regexp_extract("statement", p, 1), F.lit("")) for p in patterns))
     verb = F.regexp_extract("statement", rf"(?:Route::|->)({VERBS})\s*\(", 1)
     own = F.regexp_extract("statement", rf"(?:Route::|->)(?:{VERBS})\s*\(\s*(?:\[[^\]]*\]\s*,\s*)?'([^']*)'", 1)
-    uri = F.regexp_replace(F.concat_ws("/", F.array_append(prefixes, own)), "/+", "/")
+    uri = F.regexp_replace(F.concat_ws("/", F.array_append(within("prefix", "prefix"), own)), "/+", "/")
+    given = F.regexp_extract("statement", r"->name\(\s*'([^']*)'", 1)
     return s.filter(verb != "").select(
         "path", "line", verb.alias("verb"), F.concat(F.lit("/"), F.regexp_replace(uri, "^/|/$", "")).alias("uri"),
-        F.nullif(F.regexp_extract("statement", r"\[\s*([\w\\]+)::class", 1), F.lit("")).alias("controller"),
-        F.nullif(F.regexp_extract("statement", r"::class\s*,\s*'(\w+)'", 1), F.lit("")).alias("action"),
-        F.array_distinct(F.concat(F.flatten(F.transform("heads", lambda h: quoted(h, r"\bmiddleware"))), quoted(F.col("statement"), r"\bmiddleware"))).alias("middleware"),
+        F.when(given != "", F.concat(F.array_join(within("(?:name|as)", "as"), ""), given)).alias("name"),
+        first(r"\[\s*([\w\\]+)::class", r"'([\w\\]+)@\w+'", r",\s*([\w\\]+)::class\s*\)").alias("controller"), first(r"\[[^\]]*::class\s*,\s*'(\w+)'", r"'[\w\\]+@(\w+)'").alias("action"),
+        F.array_distinct(F.concat(within("middleware", "middleware"), listed(F.col("statement"), "middleware", "middleware"))).alias("middleware"),
         F.col("statement").rlike(r"function\s*\(|\bfn\s*\(").alias("is_closure"),
     )
 
