@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import fingerprint
@@ -144,7 +144,10 @@ class ElementRule:
 
 
 def with_parents(found: DataFrame) -> DataFrame:
-    """The elements with `up_tag` and `up_attrs` of the element around each."""
+    """The elements with `up_tag` and `up_attrs` of the element around each, and `heading_before`, the level of the last heading before it
+    in the file."""
+    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
+    found = found.withColumn("heading_before", F.last(level, ignorenulls=True).over(Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)))
     up = found.select("path", F.col("ord").alias("parent"), F.col("tag").alias("up_tag"), F.col("attrs").alias("up_attrs"))
     return found.join(up, ["path", "parent"], "left")
 
@@ -181,6 +184,7 @@ _CONTROL = r"<(input|select|textarea|[A-Z]\w*(Input|Select|Field|Textarea))\b"
 _SPACE = r"(^|\s|['\"`])(-?m[xytblr]?)-[\w\[]"
 
 RULES = [
+    ElementRule("heading-order", "accessibility", "medium", 0.85, lambda: F.coalesce(F.col("tag").rlike("^h[1-6]$") & (F.substring("tag", 2, 1).try_cast("int") > F.col("heading_before") + 1), F.lit(False)), "<div><h2>a</h2><h4>b</h4></div>", "<div><h1>a</h1><h2>b</h2><h3>c</h3><h1>d</h1></div>"),
     ElementRule("interactive-accessible-name-required", "accessibility", "high", 0.9, lambda: _tag("button", "a") & ~_has("aria-label", "aria-labelledby", "title") & ~F.col("inner").rlike(r"(>|^)[^<>{}]*[A-Za-z0-9][^<>{}]*(<|$)|\{|\balt=['\"][^'\"]"), "<button><Icon /></button>", "<button aria-label='Close'><Icon /></button>"),
     ElementRule("jsx-aria-attribute-format", "accessibility", "medium", 0.96, lambda: F.exists(F.map_keys("attrs"), lambda k: k.rlike(r"^aria([A-Z_]|-[A-Z])")), "<p ariaLabel='x'>a</p>", "<p aria-label='x'>a</p>"),
     ElementRule("semantic-wrapper-breakage", "accessibility", "medium", 0.92, lambda: F.col("tag").rlike(_PLAIN) & ((_up("ul", "ol") & ~_tag("li", "script", "template")) | (_up("tr") & ~_tag("td", "th")) | (_up("dl") & ~_tag("dt", "dd", "div"))), "<ul><div>a</div></ul>", "<ul><li>a</li></ul>"),

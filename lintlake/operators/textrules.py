@@ -47,6 +47,12 @@ class TextRule:
     unless: str = ""
     skip: str = ""
     whole: bool = False
+    masked: bool = False
+
+
+#: Strings and comments within a line of a script; a rule that is `masked` looks at lines without them. Strings with more than 300
+#: escapes are left as they are.
+MASK = r"//.*|/\*.*?\*/|" + "|".join(rf"{q}(?:[^{q}\\]*\\.){{0,300}}[^{q}\\]*{q}" for q in ("'", '"', "`"))
 
 
 def regex(pattern: str) -> str:
@@ -94,7 +100,7 @@ def scan_texts(sources: DataFrame, rules: list[TextRule] | None = None) -> DataF
         (F.array_compact(F.array(*(once(n, r) for n, r in whole))) if whole else F.array().cast("array<struct<n:int,line:int,context:string>>")).alias("at_once"),
         (F.array_compact(F.array(*(F.when(applies(r, path, content), F.lit(n)) for n, r in lines))) if lines else F.array().cast("array<int>")).alias("active"),
     )
-    text = F.col("text")
+    bare = F.regexp_replace("text", regex(MASK), "''")
     hits = F.array_compact(
         F.array(
             *(
@@ -102,7 +108,7 @@ def scan_texts(sources: DataFrame, rules: list[TextRule] | None = None) -> DataF
                     F.array_contains("active", n) & text.rlike(regex(r.pattern)) & ~text.rlike(COMMENT) & (~text.rlike(regex(r.skip)) if r.skip else F.lit(True)),
                     F.struct(F.lit(n).alias("n"), (F.col("pos") + 1).alias("line"), F.substring(F.regexp_extract(text, regex(r.pattern), 0), 1, MAX_MATCH).alias("context")),
                 )
-                for n, r in lines
+                for n, r, text in ((n, r, bare if r.masked else F.col("text")) for n, r in lines)
             )
         )
     ) if lines else F.array().cast("array<struct<n:int,line:int,context:string>>")
@@ -126,20 +132,20 @@ RULES = [
     TextRule("weak-password-policy-validation", "security", "medium", "risk", 0.8, "php", r"'password'\s*=>\s*('[^']*min:[1-7]\b[^']*'|\[[^\]]*'min:[1-7]')", (_C, "'password' => 'required|min:6',"), (_C, "'password' => ['required', Password::min(12)],")),
     TextRule("upload-mime-extension-mismatch", "security", "high", "risk", 0.82, "php", r"getClientOriginalExtension\(\)|getClientMimeType\(\)", (_C, "$ext = $file->getClientOriginalExtension();"), (_C, "$ext = $file->extension();"), unless=r"mimes:|mimetypes:|File::types"),
     TextRule("archive-upload-zip-slip-risk", "security", "high", "risk", 0.88, "php", r"->extractTo\(", (_P, "$zip = new ZipArchive; $zip->extractTo($dir);"), (_P, "$zip = new ZipArchive; if (realpath($entry)) { $zip->extractTo($dir); }"), needs=r"ZipArchive", unless=r"realpath\(|getNameIndex\([^)]*\)[^;]*\.\."),
-    TextRule("upload-size-limit-missing", "security", "medium", "risk", 0.8, "php", r"'(required\|)?(file|image)(\|mimes:[^'|]*)?'", (_C, "'avatar' => 'required|image',"), (_C, "'avatar' => 'required|image|max:2048',"), skip=r"max:"),
+    TextRule("upload-size-limit-missing", "security", "medium", "risk", 0.8, "php", r"'(required\|)?(file|image)(\|mimes:[^'|]*)?'", (_C, "'avatar' => 'required|image',"), (_C, "'avatar' => 'required|image|max:2048',"), skip=r"max:", unless=r"getSize\s*\(|->max\(|\bFile::types\("),
     TextRule("csrf-exception-wildcard-risk", "security", "high", "risk", 0.92, "middleware", r"'[^']*\*[^']*'", ("app/Http/Middleware/VerifyCsrfToken.php", "protected $except = ['api/*'];"), ("app/Http/Middleware/VerifyCsrfToken.php", "protected $except = ['stripe/webhook'];"), needs=r"\$except", skip=r"'(stripe|webhooks?)/"),
     TextRule("insecure-session-cookie-config", "security", "high", "risk", 0.91, "config", r"'(secure|http_only)'\s*=>\s*(false|env\([^)]*,\s*false\s*\))", ("config/session.php", "'http_only' => false,"), ("config/session.php", "'http_only' => true,")),
     TextRule("cookie-samesite-missing", "security", "high", "risk", 0.78, "config", r"'same_site'\s*=>\s*(null|'none')", ("config/session.php", "'same_site' => null,"), ("config/session.php", "'same_site' => 'lax',")),
     TextRule("unsafe-csp-policy", "security", "high", "risk", 0.9, "php", r"Content-Security-Policy.*unsafe-(inline|eval)", (_P, "$r->headers->set('Content-Security-Policy', \"script-src 'unsafe-inline'\");"), (_P, "$r->headers->set('Content-Security-Policy', \"script-src 'self'\");")),
     TextRule("cors-misconfiguration", "security", "high", "risk", 0.9, "config", r"'(allowed_origins|allowed_origins_patterns)'\s*=>\s*\[\s*'(\*|\.\*)'", ("config/cors.php", "'allowed_origins' => ['*'],"), ("config/cors.php", "'allowed_origins' => ['https://a.example'],")),
-    TextRule("insecure-random-for-security", "security", "medium", "risk", 0.75, "php", r"(token|password|secret|otp|nonce|salt|code)\w*\s*=[^;]*\b(mt_rand|rand|uniqid)\s*\(", (_P, "$token = md5(rand());"), (_P, "$token = bin2hex(random_bytes(16));")),
+    TextRule("insecure-random-for-security", "security", "medium", "risk", 0.75, "php", r"(token|password|secret|otp|nonce|salt|code|\bpin\b)\w*['\"]?\]?\s*=>?[^;]*\b(mt_rand|rand|uniqid|array_rand|shuffle|str_shuffle)\s*\(|\b(shuffle|str_shuffle)\s*\(\s*\$\w*(token|password|secret|otp|nonce|salt|code|pin)", (_P, "$token = md5(rand());"), (_P, "$token = bin2hex(random_bytes(16));")),
     TextRule("sensitive-data-logging", "observability", "high", "risk", 0.9, "php", r"(Log::\w+|logger)\([^;]*(\$password|\$token|\$secret|->password\b|'password'|credit_?card|api_key)", (_P, "Log::info('login', ['password' => $p]);"), (_P, "Log::info('login', ['id' => $id]);"), skip=r"\*{3}|redact|mask"),
-    TextRule("timing-attack-token-comparison", "security", "high", "risk", 0.9, "php", r"\$\w*(token|signature|hash|hmac)\w*\s*(===|==|!==|!=)\s*\$", (_P, "if ($signature === $expected) {}"), (_P, "if (hash_equals($signature, $expected)) {}")),
+    TextRule("timing-attack-token-comparison", "security", "high", "risk", 0.9, "php", r"\$[a-z_]\w*(token|hash|secret|signature|hmac)\w*\s*={2,3}\s*\$[a-z_]|\$[a-z_]\w*\s*={2,3}\s*\$[a-z_]\w*(token|hash|secret|signature|hmac)", (_P, "if ($apiSignature === $expected) {}"), (_P, "if (hash_equals($signature, $expected)) {}")),
     TextRule("password-hash-weak-algorithm", "security", "critical", "defect", 0.96, "php", r"(md5|sha1)\s*\([^;)]*password", (_P, "$h = md5($password);"), (_P, "$h = Hash::make($password);")),
     TextRule("plain-text-sensitive-config", "security", "critical", "defect", 0.94, "config", r"'(password|secret|api_key|private_key|access_token)'\s*=>\s*'[^']{4,}'", ("config/mail.php", "'password' => 'hunter2pass',"), ("config/mail.php", "'password' => env('MAIL_PASSWORD'),")),
     TextRule("hardcoded-secrets", "security", "high", "risk", 0.95, "php", r"['\"](sk[-_]live[-_][A-Za-z0-9]{12,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,})['\"]", (_P, "$key = 'sk-live-9f8e7d6c5b4a3f2e1d';"), (_P, "$key = 'sk-demo-example';"), skip=r"example|demo|dummy|placeholder"),
-    TextRule("webhook-signature-parameter-unused", "security", "critical", "defect", 0.95, "php", r"function\s+\w*(webhook|payment|callback)\w*\s*\([^)]*\$(signature|sig)\b", (_C, "function webhook($payload, $signature) { return $this->save($payload); }"), (_C, "function webhook($payload, $signature) { hash_equals($signature, $x); }"), unless=r"hash_equals|verify\w*\(\s*[^;]*\$sig", whole=True),
-    TextRule("forced-login-without-authorization", "security", "critical", "risk", 0.74, "controllers", r"Auth::(login|loginUsingId)\(", (_C, "Auth::loginUsingId($request->id);"), (_C, "$this->authorize('impersonate', $u); Auth::loginUsingId($u->id);"), unless=r"authorize\(|Gate::|->can\(|Auth::attempt|Hash::check", whole=True),
+    TextRule("webhook-signature-parameter-unused", "security", "critical", "defect", 0.95, "php", r"function\s+\w+\s*\([^)]*\$(signature|sig|hmac)\b[^)]*\)", (_C, "class Webhook { function webhook($payload, $signature) { return $this->save($payload); } }"), (_C, "class Webhook { function webhook($payload, $signature) { hash_equals($signature, $x); } }"), needs=r"webhook|payment|callback", unless=r"hash_equals|(verify|check|valid)\w*\(\s*[^;]*\$(sig|hmac)"),
+    TextRule("forced-login-without-authorization", "security", "critical", "risk", 0.74, "controllers", r"(Auth::|\bauth\(\)\s*->\s*)(guard\([^()]*\)\s*->\s*)?(login|loginUsingId)\(", (_C, "Auth::loginUsingId($request->id);"), (_C, "$this->authorize('impersonate', $u); Auth::loginUsingId($u->id);"), unless=r"authorize\(|Gate::|->can\(|Auth::attempt|Hash::check", whole=True),
     TextRule("high-privilege-action-missing-authorization", "security", "critical", "risk", 0.76, "controllers", r"function\s+\w*(impersonat|emergency|elevat|promote|grantAdmin)\w*\s*\(", (_C, "function impersonate(User $u) { session(['as' => $u->id]); }"), (_C, "function impersonate(User $u) { $this->authorize('impersonate', $u); }"), unless=r"authorize\(|Gate::|->can\(|middleware\(", whole=True),
     TextRule("url-validation-protocol-bypass", "security", "high", "risk", 0.9, "php", r"'(\w*redirect\w*|\w*link\w*|\w*url\w*)'\s*=>\s*('[^']*\burl\b[^':]*'|\[[^\]]*'url')", (_C, "'redirect_url' => 'required|url',"), (_C, "'redirect_url' => 'required|url:https',")),
     TextRule("malformed-authorization-call", "security", "high", "defect", 0.88, "php", r"\$this->authorize->\w+\(", (_C, "$this->authorize->update($post);"), (_C, "$this->authorize('update', $post);")),
@@ -207,7 +213,7 @@ RULES = [
     TextRule("context-provider-inline-value", "performance", "medium", "risk", 0.9, "jsx", r"\.Provider\s+value=\{\s*[\{\[]", (_X, "<A.Provider value={{ a }}>"), (_X, "<A.Provider value={memo}>")),
     TextRule("inline-prop-object-array", "react_best_practice", "medium", "advisory", 0.9, "jsx", r"\s[a-z]\w*=\{\s*(\[[^\]]*\]|\{[^}]*\})\s*\}", (_X, "<A options={[1, 2]} />"), (_X, "<A options={options} />"), skip=r"(style|dangerouslySetInnerHTML|value)=\{|Provider"),
     TextRule("loose-default-object-prop", "react_best_practice", "medium", "advisory", 0.9, "jsx", r"function\s+[A-Z]\w*\s*\(\s*\{[^}]*=\s*\{\s*\}", (_X, "function A({ user = {} }) {}"), (_X, "function A({ user }) {}")),
-    TextRule("console-log-in-production-code", "react_best_practice", "medium", "advisory", 0.92, "js", r"\bconsole\.(log|debug|info|warn|error)\s*\(", (_X, "console.log(x)"), (_X, "report(x)")),
+    TextRule("console-log-in-production-code", "react_best_practice", "medium", "advisory", 0.92, "js", r"\bconsole\.(log|debug|info|warn|error)\s*\(", (_X, "console.log(x)"), (_X, "report('console.log(x)') // console.log(y)"), masked=True),
     TextRule("window-any-typing", "react_best_practice", "low", "advisory", 0.55, "js", r"\(window\s+as\s+(unknown\s+as\s+)?any\)", (_X, "(window as any).x = 1"), (_X, "window.x = 1")),
     TextRule("insecure-postmessage-origin-wildcard", "security", "high", "risk", 0.92, "js", r"\.postMessage\([^;]*,\s*['\"]\*['\"]", (_X, "w.postMessage(d, '*')"), (_X, "w.postMessage(d, origin)")),
     TextRule("token-storage-insecure-localstorage", "security", "high", "risk", 0.9, "js", r"(local|session)Storage\.setItem\(\s*['\"`][^'\"`]*(token|jwt|secret|auth)", (_X, "localStorage.setItem('auth_token', t)"), (_X, "localStorage.setItem('theme', t)"), skip=r"csrf"),
@@ -263,7 +269,6 @@ RULES = [
     TextRule("table-missing-headers", "accessibility", "high", "risk", 0.72, "markup", r"<table\b", (_X, "<table><tr><td>a</td></tr></table>"), (_X, "<table><tr><th>a</th></tr></table>"), unless=r"<th\b|role=['\"]presentation", whole=True),
     TextRule("missing-fieldset-legend", "accessibility", "high", "risk", 0.72, "markup", r"<input\b[^>]*type=['\"]radio['\"]", (_X, "<input type='radio' name='a' />"), (_X, "<fieldset><legend>A</legend><input type='radio' name='a' /></fieldset>"), unless=r"<fieldset\b|role=['\"]radiogroup", whole=True),
     TextRule("touch-target-size", "accessibility", "medium", "risk", 0.94, "jsx", r"<(button|a)\b[^>]*className=['\"][^'\"]*\b(h|w|size)-[1-8]\b", (_X, "<button className='h-6 w-6'>x</button>"), (_X, "<button className='h-12 w-12'>x</button>")),
-    TextRule("heading-order", "accessibility", "medium", "risk", 0.85, "markup", r"<h1\b[^>]*>.*?<h[3-6]\b", (_X, "<h1>a</h1><h3>b</h3>"), (_X, "<h1>a</h1><h2>b</h2><h3>c</h3>"), unless=r"<h2\b", whole=True),
     TextRule("h1-singleton-violation", "seo", "medium", "risk", 0.86, "html", r"<h1\b.*<h1\b", ("resources/views/a.blade.php", "<h1>a</h1><h1>b</h1>"), ("resources/views/a.blade.php", "<h1>a</h1><h2>b</h2>"), whole=True),
     TextRule("robots-directive-risk", "seo", "medium", "risk", 0.9, "markup", r"<meta\b[^>]*name=['\"]robots['\"][^>]*(noindex|nofollow)", ("resources/views/a.blade.php", "<meta name='robots' content='noindex'>"), ("resources/views/a.blade.php", "<meta name='robots' content='index'>")),
     TextRule("meta-description-missing-or-generic", "seo", "low", "advisory", 0.84, "html", r"<head\b[^>]*>", ("resources/views/a.blade.php", "<head><title>a</title></head>"), ("resources/views/a.blade.php", "<head><meta name=\"description\" content=\"A shop of lamps\"></head>"), unless=r"name\s*=\s*['\"]description['\"]", whole=True),

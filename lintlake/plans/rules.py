@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators import textrules
-from lintlake.operators.textrules import COMMENT, KINDS, MAX_MATCH, TextRule, regex
+from lintlake.operators.textrules import COMMENT, KINDS, MASK, MAX_MATCH, TextRule, regex
 
 _STYLES = ("css", "tailwind-", "focus-indicator")
 _BACKEND = ("php", "blade", "controllers", "jobs", "models", "migrations", "routes", "api_routes", "config", "middleware", "providers", "php_tests", "env", "composer", "package", "gitignore", "workflow", "vite")
@@ -69,10 +69,10 @@ def _rule_sql(r: TextRule) -> str:
     where = [_like("path", only), f"NOT {_like('path', never)}"]
     where += [_like("content", r.needs)] if r.needs else []
     where += [f"NOT {_like('content', r.unless)}"] if r.unless else []
-    text = "content" if r.whole else "l"
+    text = "content" if r.whole else f"regexp_replace(l, {_q(regex(MASK))}, repeat(chr(39), 2), 'g')" if r.masked else "l"
     where += [_like(text, r.pattern)]
     if not r.whole:
-        where += [f"NOT regexp_matches(l, {_q(COMMENT)})"] + ([f"NOT {_like('l', r.skip)}"] if r.skip else [])
+        where += [f"NOT regexp_matches({text}, {_q(COMMENT)})"] + ([f"NOT {_like(text, r.skip)}"] if r.skip else [])
     before = f"regexp_extract(content, {_q(regex(chr(92) + 'A(.*?)(?:' + r.pattern + ')'))}, 1)"
     line = f"len({before}) - len(replace({before}, chr(10), '')) + 1" if r.whole else "i"
     return f"""SELECT path AS file, ({line})::INT AS line, {_q(r.rule_id)} AS rule_id, '{r.category}' AS category, '{r.severity}' AS severity, {r.confidence}::DOUBLE AS confidence,

@@ -37,3 +37,10 @@ def found(spark):
 def test_samples(found, n):
     r = jsx.RULES[n]
     assert (f"hit{n}", r.rule_id) in found and (f"miss{n}", r.rule_id) not in found
+
+
+def test_heading_order(spark):
+    texts = {"skips": "<h2>a</h2><h5>b</h5>", "nested": "<div><h1>a</h1><section><h3>b</h3></section></div>", "fine": "<h3>a</h3><h1>b</h1><h2>c</h2><h3>d</h3><h2>e</h2>", "alone": "<h4>a</h4>", "twice": "<h1>a</h1><h3>b</h3><h2>c</h2><h4>d</h4>"}
+    src = spark.createDataFrame([(f"{k}.tsx", v) for k, v in texts.items()], "path string, content string")
+    found = [r.file for r in jsx.scan_elements(src, [r for r in jsx.RULES if r.rule_id == "heading-order"]).collect()]
+    assert sorted(found) == ["nested.tsx", "skips.tsx", "twice.tsx", "twice.tsx"]
