@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions import lookup
+from lintlake.operators.filters import FLOOR, FLOOR_SHIFT
+
 
 def overlaid(base: DataFrame, user: DataFrame, key: str = "rule_id") -> DataFrame:
     """The rows of `base`, each replaced as a whole where `user` has the key, and what `user` adds."""
@@ -44,3 +47,30 @@ def calibrated(rules: DataFrame, patches: DataFrame) -> DataFrame:
     merged = values.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_thresholds"))
     found = rules.join(switched, "rule_id", "left").join(merged, "rule_id", "left")
     return found.select("rule_id", F.coalesce("_enabled", "enabled").alias("enabled"), F.coalesce("_severity", "severity").alias("severity"), F.coalesce("_thresholds", "thresholds").alias("thresholds"))
+
+
+def unreachable(declared: DataFrame, profile: str, own_floor: DataFrame | None = None) -> DataFrame:
+    """(rule_id, ceiling, floor): rules none of whose declared findings (rule_id, confidence, classification) can pass the profile's floor, or
+    that of `own_floor` (rule_id, floor), which holds for all classifications. A rule with a finding whose confidence or
+    classification is only known when it runs (null) is left out. One grouping; the nearest miss is named."""
+    base, shift = F.lit(FLOOR.get(profile, FLOOR["balanced"])), lookup(FLOOR_SHIFT.get(profile, FLOOR_SHIFT["balanced"]), "classification", 0.0)
+    if own_floor is None:
+        rows = declared.withColumn("floor", base + shift)
+    else:
+        own = own_floor.select("rule_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("floor").cast("double"))).alias("own"))
+        rows = declared.join(own, "rule_id", "left").withColumn("floor", F.coalesce("own", base + shift))
+    rows = rows.withColumn("floor", F.least(F.col("floor"), F.lit(1.0)))
+    unknown = F.col("confidence").isNull() | F.col("classification").isNull()
+    margin = F.col("confidence") - F.col("floor")
+    each = rows.groupBy("rule_id").agg(F.max(unknown).alias("unknown"), F.max(margin).alias("margin"), F.max(F.struct(margin, F.col("confidence"), F.col("floor"))).alias("best"))
+    return each.filter(~F.col("unknown") & (F.col("margin") < -1e-9)).select("rule_id", F.col("best.confidence").alias("ceiling"), F.col("best.floor").alias("floor"))
+
+
+def drift(listed: DataFrame, found: DataFrame, internal: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(rule_id, state): where a list of rules and the rules that are there differ: `pending` are there, not listed and not internal, `listed_only` aren't
+    there, `internal` are there and wrapped by others, `alias_only` are old names (alias) of none that is there."""
+    a, b, i, old = (t.select(t.columns[0]).toDF("rule_id").distinct() for t in (listed, found, internal, aliases))
+    known = b.withColumn("listed", F.lit(False)).join(a.withColumn("in_list", F.lit(True)), "rule_id", "left").join(i.withColumn("inner", F.lit(True)), "rule_id", "left")
+    pending = known.filter("in_list is null and inner is null").select("rule_id", F.lit("pending").alias("state"))
+    wrapped = known.filter("inner").select("rule_id", F.lit("internal").alias("state"))
+    return pending.unionByName(wrapped).unionByName(a.join(b, "rule_id", "left_anti").withColumn("state", F.lit("listed_only"))).unionByName(old.join(b, "rule_id", "left_anti").withColumn("state", F.lit("alias_only")))
