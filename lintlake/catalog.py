@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lintlake.plans import bodies, callmap, code, contracts, corpus, elements, flows, rules, texts, warehouse
+from lintlake.plans import bodies, callmap, code, contracts, corpus, elements, flows, rules, texts, upkeep, warehouse
 
-_PLANS = (bodies, callmap, code, contracts, corpus, elements, flows, rules, texts, warehouse)
+_PLANS = (bodies, callmap, code, contracts, corpus, elements, flows, rules, texts, upkeep, warehouse)
 
 
 def queries() -> dict:
