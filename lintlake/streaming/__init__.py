@@ -32,3 +32,41 @@ def manifest_stream(sources: DataFrame, manifest: str, checkpoint: str) -> Strea
         merged.write.mode("overwrite").parquet(f"{manifest}/{n}")
 
     return sources.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+MANIFEST = "path string, hash string, bucket int, version long"
+BUCKETS = 64
+
+
+def load_manifest(spark: SparkSession, manifest: str) -> DataFrame:
+    """(path, hash, bucket) as of now: of each bucket its newest version."""
+    rows = spark.read.schema(MANIFEST).parquet(manifest)
+    # a few versions a bucket; as partitions they are read from the folders' names
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"]).select("path", "hash", "bucket")
+
+
+def tree_digest(manifest_rows: DataFrame) -> DataFrame:
+    """(digest, n_files): one digest of all paths and hashes, whatever their order: of buckets first, then of these."""
+    each = manifest_rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "hash"))), "|"), 256).alias("d"), F.count("*").alias("n"))
+    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("bucket").cast("string"), "d"))), "|"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+
+
+def manifest_buckets(sources: DataFrame, manifest: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps (path, hash) of the newest content of each path in buckets by hash of the path. A batch reads and writes only the buckets that
+    its paths fall in, each as a new version, so what it costs follows the batch and not the project. A batch that runs
+    again writes the same rows again; the state is the table, so a new checkpoint goes on where the table stands."""
+    sources.sparkSession.createDataFrame([], MANIFEST).write.mode("append").partitionBy("bucket", "version").parquet(manifest)
+
+    def update(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy("path").agg(F.max(F.substring(F.sha2("content", 256), 1, 16)).alias("hash")).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets
+        if not touched:
+            return
+        version = (spark.read.schema(MANIFEST).parquet(manifest).agg(F.max("version")).first()[0] or 0) + 1
+        held = load_manifest(spark, manifest).filter(F.col("bucket").isin(touched))
+        merged = held.join(new.select("path"), "path", "left_anti").select("path", "hash", "bucket").unionByName(new.select("path", "hash", "bucket"))
+        merged.withColumn("version", F.lit(version).cast("long")).repartition("bucket").write.mode("append").partitionBy("bucket", "version").parquet(manifest)
+
+    return sources.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
