@@ -10,12 +10,23 @@ WINDOW, STEP = 50, 25
 MAX_PLACES = 16
 
 
-def windows(sources: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """(path, idx, hash): windows of tokens, every `step`; tokens are words split at white space."""
+def _hashes(sources: DataFrame, window: int, step: int) -> DataFrame:
+    """(path, hashes) of files of a window or more; tokens are words split at white space."""
     tokens = F.filter(F.split("content", r"[\x20\x09-\x0D]+"), lambda t: t != "")
     w = sources.select("path", tokens.alias("t")).filter(F.size("t") >= window)
     at = F.sequence(F.lit(0), F.floor((F.size("t") - window) / step).cast("int"))
-    return w.select("path", F.posexplode(F.transform(at, lambda i: F.substring(F.sha2(F.array_join(F.slice("t", i * step + 1, window), " "), 256), 1, 16))).alias("idx", "hash"))
+    return w.select("path", F.transform(at, lambda i: F.substring(F.sha2(F.array_join(F.slice("t", i * step + 1, window), " "), 256), 1, 16)).alias("hashes"))
+
+
+def windows(sources: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(path, idx, hash): windows of tokens, every `step`."""
+    return _hashes(sources, window, step).select("path", F.posexplode("hashes").alias("idx", "hash"))
+
+
+def neighbours(sources: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(path, idx, hash, next): each two windows that follow each other, from the array of a file's hashes, so nothing is joined."""
+    two = F.filter(F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), F.get("hashes", i + 1).alias("next"))), lambda x: x["next"].isNotNull())
+    return _hashes(sources, window, step).select("path", F.posexplode(two).alias("idx", "x")).select("path", "idx", "x.hash", "x.next")
 
 
 def pairs(w: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
@@ -44,11 +55,9 @@ def members(w: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
     return rest.join(classes, "hash").select("path", "idx", "hash", "first_path", "n_files")
 
 
-def shared_intervals(w: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """(path, first, last): tokens of each two neighbouring windows that another file has as neighbours too. Together
+def shared_intervals(two: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(path, first, last): tokens of each two neighbouring windows (what `neighbours` gives) that another file has as neighbours too. Together
     they are all the runs of two windows or more between any two files, however many copies there are."""
-    after = w.select("path", (F.col("idx") - 1).alias("idx"), F.col("hash").alias("next"))
-    two = w.join(after, ["path", "idx"])
     shared = two.groupBy("hash", "next").agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a < b").select("hash", "next")
     first = F.col("idx") * step
     return two.join(shared, ["hash", "next"], "left_semi").select("path", first.alias("first"), (first + step + window - 1).alias("last"))

@@ -97,7 +97,7 @@ def file_summaries(findings: DataFrame) -> DataFrame:
 
 
 def action_plan(findings: DataFrame) -> DataFrame:
-    """A row for each rule with what its findings cost; ids hold the fingerprints."""
+    """A row for each rule with what its findings cost, how many there are, and one of them as a sample."""
     w = lookup(WEIGHT, "category", DEFAULT_WEIGHT)
     plan = with_penalty(findings).groupBy("rule_id", "category").agg(
         F.bround(F.sum(F.col("penalty") * w) / 100, 2).alias("priority"),
@@ -127,10 +127,11 @@ def triage(findings: DataFrame, memory: DataFrame | None = None, project_type: s
     """A row for each rule: impact, risk, effort, context factor, score, what to do, and the rank among all.
 
     `memory` (rule_id, factor) is what a team's past decisions say of a rule; `findings` may have `last_line` and
-    `public_surface`. `weights` are the exponents impact, risk, effort, context and the share effort_discount. The rank is
+    `public_surface`. `weights` are the exponents impact, risk, effort, context and the share effort_discount, which is held to 0..0.95. The rank is
     by classification, score, category and rule; one row a rule, so it takes one small sort.
     """
     w = {"impact": 1.0, "risk": 1.0, "effort": 1.0, "context": 1.0, "effort_discount": 0.6} | (weights or {})
+    w["effort_discount"] = max(0.0, min(0.95, float(w["effort_discount"])))
     lines = F.greatest(F.lit(1), F.col("last_line") - F.col("line") + 1) if "last_line" in findings.columns else F.lit(1)
     public = F.max(F.coalesce("public_surface", F.lit(False)).cast("double")) if "public_surface" in findings.columns else F.lit(0.0)
     g = with_penalty(findings).groupBy("rule_id").agg(

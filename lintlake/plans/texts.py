@@ -87,7 +87,7 @@ def clone_members(s, d):
 
 
 def _intervals(s, d):
-    return clones.shared_intervals(clones.windows(sources(s, d)))
+    return clones.shared_intervals(clones.neighbours(sources(s, d)))
 
 
 def clone_interval_union(s, d):

@@ -105,7 +105,7 @@ def test_coverage_has_no_cap_of_copies(spark):
     text = " ".join(f"w{i}" for i in range(130))  # windows at 0, 25, 50 and 75: tokens 0 to 124
     own = lambda n: " ".join(f"own{n}x{i}" for i in range(60))
     rows = [(f"f{n:02}", text) for n in range(40)] + [("alone", own(1)), ("z", " ".join([*(f"w{i}" for i in range(75)), own(2)]))]
-    w = clones.windows(spark.createDataFrame(rows, "path string, content string"))
+    w = clones.neighbours(spark.createDataFrame(rows, "path string, content string"))
     spans = sorted(map(tuple, clones.covered(clones.shared_intervals(w)).collect()))
     assert spans == [(f"f{n:02}", 0, 124) for n in range(40)] + [("z", 0, 74)]
     rest = clones.members(w).collect()
