@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_small_or_shuffled, table, written
 from .components import components
 from .words import Words, chunks, grams, mixed
 
@@ -247,12 +247,12 @@ def prefix_links(trees: DataFrame, depth: int, threshold: float, hashes: int) ->
     found = written(ranged.mapInArrow(linked(beyond(2 * apart), True), schema), "links")
     # a leader of a range stands for texts near it, so between leaders the distance may be twice as much again
     ends = found.filter("prefix is not null").select("tree", F.col("prefix").alias("signature"), F.col("a").alias("key"))
+    met_again = ends.groupBy("tree", "signature").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "signature")
+    several = ends.join(met_again, ["tree", "signature"], "left_semi")
     # every task that has a text gives its signatures again, so each is first taken once by text and tree
-    once = trees.join(ends.select("key").distinct(), "key", "left_semi").groupBy("key", "tree").agg(F.min("signature").alias("signature"))
+    once = join_small_or_shuffled(trees, several.select("key").distinct(), "key", "left_semi").groupBy("key", "tree").agg(F.min("signature").alias("signature"))
     values = once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("tree", F.hex("signature").alias("s")))).alias("parts"))
-    whole = values.select("key", F.unhex(F.array_join(F.col("parts.s"), "")).alias("bits"))
-    met_again = ends.groupBy("tree", "signature").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "signature")
-    several = ends.join(met_again, ["tree", "signature"], "left_semi").join(whole, "key").select("tree", "signature", "bits", "key")
+    several = several.join(values.select("key", F.unhex(F.array_join(F.col("parts.s"), "")).alias("bits")), "key").select("tree", "signature", "bits", "key")
     across = several.repartition("tree", "signature").sortWithinPartitions("tree", "signature", "key").mapInArrow(linked(beyond_whole(4 * apart), False), schema)
     links = found.filter("prefix is null").unionByName(across).filter("a != b")
     return links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
