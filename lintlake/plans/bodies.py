@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import bodies, php, rules, ruleset
 from lintlake.plans.code import rendered
 
@@ -39,7 +40,7 @@ RULES = [r for r in rules.RULES if r.rule_id in ("n-plus-one-risk", "eager-loadi
 
 
 def controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet"))
     third = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("            'segment' => 'in:A,B',\n")).otherwise(F.lit(""))
     c = c.withColumn("third", third).withColumn("eager", F.when(F.col("c_nationkey") % 2 == 0, F.lit("with('customer', 'clerk')->")).otherwise(F.lit("")))
     return rendered(c, "app/Http/Controllers/Customer[[c_custkey]]Controller.php", CONTROLLER)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import callmap, complexity, php
 from lintlake.plans.code import rendered
 
@@ -30,7 +31,7 @@ def project_flows(s, d):
 
 
 def classes(s, d):
-    p = _t(s, d, "part").withColumn("n", F.expr("6 + p_size div 10")).withColumn("ring", F.col("p_retailprice") > 1200)
+    p = dealt(_t(s, d, "part")).withColumn("n", F.expr("6 + p_size div 10")).withColumn("ring", F.col("p_retailprice") > 1200)
     last = F.when(F.col("ring"), F.concat(F.lit("$this->m"), F.col("n") - 1, F.lit("();"))).otherwise(F.lit("// $this->m1();"))
     body = lambda i: F.when(i < F.col("n"), F.concat(F.lit("$this->m"), i + 1, F.lit("();"))).otherwise(last)
     methods = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("    function m"), i, F.lit("()\n    {\n        "), body(i), F.lit("\n    }\n")))

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import contracts, php, registration
 from lintlake.plans.code import rendered
 
 
 def _suppliers(s, d):
     kind = F.when(F.col("s_acctbal") < 0, "web").otherwise("api")
-    return s.read.parquet(f"{d}/supplier.parquet").withColumn("stack", kind)
+    return dealt(s.read.parquet(f"{d}/supplier.parquet")).withColumn("stack", kind)
 
 
 def route_sources(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import jsx
 
 
@@ -23,7 +24,7 @@ def page_classes(s, d):
 def jsx_rule_findings(s, d):
     """What all element rules find in the samples of all of them."""
     samples = s.createDataFrame([(f"{side}-{r.rule_id}", getattr(r, side)) for r in jsx.RULES for side in ("hit", "miss")], "name string, body string")
-    suppliers = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name")
+    suppliers = dealt(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name"))
     # the samples are the operator's constants
     both = suppliers.crossJoin(F.broadcast(samples))
     sources = both.select(F.concat(F.col("name"), F.lit("/"), F.col("s_suppkey").cast("string")).alias("path"), F.concat(F.lit("// "), F.col("s_name"), F.lit("\n"), F.col("body")).alias("content"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import dataflow, rules
 from lintlake.plans.code import rendered
 
@@ -18,7 +19,7 @@ def _t(s, d, name):
 
 
 def sources(s, d):
-    o = _t(s, d, "orders").withColumn("k", F.substring("o_orderpriority", 1, 1).cast("int"))
+    o = dealt(_t(s, d, "orders")).withColumn("k", F.substring("o_orderpriority", 1, 1).cast("int"))
     steps = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.concat(F.lit("        $v"), i, F.lit(" = trim($v"), i - 1, F.lit(");\n")))
     last = F.concat(F.lit("$v"), F.col("k"))
     ends = (
@@ -64,7 +65,7 @@ def taint_spread(s, d):
 
 
 def services(s, d):
-    p = _t(s, d, "part").withColumn("field", F.element_at(F.array(*map(F.lit, ("stock", "rating", "seats"))), (F.col("p_size") % 3 + 1).cast("int")))
+    p = dealt(_t(s, d, "part")).withColumn("field", F.element_at(F.array(*map(F.lit, ("stock", "rating", "seats"))), (F.col("p_size") % 3 + 1).cast("int")))
     guard = F.when(F.col("p_size") < 10, F.concat(F.lit("        if ($part->"), "field", F.lit(" < $n) {\n            return null;\n        }\n"))).otherwise(F.lit(""))
     p = p.withColumn("guard", guard).withColumn("lock", F.when(F.col("p_retailprice") > 1200, F.lit("->lockForUpdate()")).otherwise(F.lit("")))
     return rendered(

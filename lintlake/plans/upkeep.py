@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import dealt
 from lintlake.operators import blocks, fixes, rules, ruleset
 from lintlake.plans.code import rendered
 
@@ -19,7 +20,7 @@ def _t(s, d, name):
 def classes(s, d):
     """Statements of ten tokens, which name and number things differently in each class."""
     line = F.transform(F.sequence(F.lit(1), F.col("p_size") + 10), lambda i: F.concat(F.lit("        $v"), F.col("p_partkey"), F.lit(" = go("), i, F.lit(", '"), F.col("p_brand"), F.lit("'); // "), F.col("p_name"), F.lit("\n")))
-    p = _t(s, d, "part").withColumn("lines", F.array_join(line, ""))
+    p = dealt(_t(s, d, "part")).withColumn("lines", F.array_join(line, ""))
     return rendered(p, "app/P[[p_partkey]].php", "<?php\nclass P[[p_partkey]]\n{\n    public function f()\n    {\n[[lines]]    }\n}\n")
 
 
@@ -33,7 +34,7 @@ def file_duplication(s, d):
 
 
 def scripts(s, d):
-    p = _t(s, d, "supplier").withColumn("debug", F.when(F.col("s_acctbal") < 0, "debug").otherwise("info"))
+    p = dealt(_t(s, d, "supplier")).withColumn("debug", F.when(F.col("s_acctbal") < 0, "debug").otherwise("info"))
     return rendered(p, "app/Services/S[[s_suppkey]].php", "<?php\n// [[s_name]]\nclass S[[s_suppkey]]\n{\n    public function f()\n    {\n        $a = env('NATION') . [[s_nationkey]];\n        Log::[[debug]]($a);\n        return $a;\n    }\n}\n")
 
 
