@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators import graphs
-from lintlake.operators.graphs import cut, shared
+from lintlake.operators.graphs import cut, long, shared
 
 MAX_NODES, MAX_DEPTH, DEEP_CHAIN = 320, 20, 8
 
@@ -14,7 +14,7 @@ MAX_NODES, MAX_DEPTH, DEEP_CHAIN = 320, 20, 8
 def call_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """(src, dst, type) between methods by full name: calls of own methods, of other classes' static ones, and of methods of what
     a constructor takes as a property. A class is named in full, or by its only class of that base name."""
-    own = methods.join(classes.select("path", F.col("name").alias("class"), "fqcn"), ["path", "class"])
+    own = methods.join(long(classes.select("path", F.col("name").alias("class"), "fqcn")), ["path", "class"])
     src = F.concat_ws("::", "fqcn", "name")
     calls = lambda p, i: F.regexp_extract_all("quiet", F.lit(p), i)
     inner = own.select(src.alias("src"), F.col("fqcn").alias("raw"), F.explode(calls(r"(?:\$this\s*->|\b(?:self|static)::)\s*(\w+)\s*\(", 1)).alias("called"))
@@ -24,10 +24,10 @@ def call_edges(classes: DataFrame, methods: DataFrame) -> DataFrame:
     held = own.filter("name = '__construct'").select("fqcn", F.explode(F.arrays_zip(F.regexp_extract_all("head", F.lit(typed), 1).alias("raw"), F.regexp_extract_all("head", F.lit(typed), 2).alias("property"))).alias("x")).select("fqcn", "x.raw", "x.property")
     through = r"\$this\s*->\s*(\w+)\s*->\s*(\w+)\s*\("
     used = own.select("fqcn", src.alias("src"), F.explode(F.arrays_zip(calls(through, 1).alias("property"), calls(through, 2).alias("called"))).alias("x")).select("fqcn", "src", "x.property", "x.called")
-    raw = inner.unionByName(outer).unionByName(used.join(held, ["fqcn", "property"]).select("src", "raw", "called")).withColumn("raw", F.regexp_replace("raw", r"^\\", ""))
+    raw = inner.unionByName(outer).unionByName(used.join(long(held), ["fqcn", "property"]).select("src", "raw", "called")).withColumn("raw", F.regexp_replace("raw", r"^\\", ""))
     known = graphs.unresolved_to_known(raw.select("raw").distinct(), classes.select("fqcn").distinct())
-    full = raw.join(known.filter("fqcn is not null"), "raw").select("src", F.concat_ws("::", "fqcn", "called").alias("dst"))
-    return full.join(own.select(src.alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", F.lit("calls").alias("type")).distinct()
+    full = raw.join(long(known.filter("fqcn is not null")), "raw").select("src", F.concat_ws("::", "fqcn", "called").alias("dst"))
+    return full.join(long(own.select(src.alias("dst")).distinct()), "dst", "left_semi").select("src", "dst", F.lit("calls").alias("type")).distinct()
 
 
 def flows(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -46,8 +46,8 @@ def flows(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, m
     front, left = seen, seen.select("start", F.lit(max_nodes - 1).alias("room"))
     by_name = Window.partitionBy("start").orderBy("node")
     for depth in range(1, max_depth + 1):
-        met = front.join(offered, front["node"] == offered["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        ranked = met.join(left.filter("room > 0"), "start").withColumn("nth", F.row_number().over(by_name)).filter("nth <= room")
+        met = front.join(long(offered), front["node"] == offered["src"]).select("start", F.col("dst").alias("node")).distinct().join(long(seen.select("start", "node")), ["start", "node"], "left_anti")
+        ranked = met.join(long(left.filter("room > 0")), "start").withColumn("nth", F.row_number().over(by_name)).filter("nth <= room")
         front = cut(ranked.select("start", "node", F.lit(depth).alias("depth"), "room"))
         if front.isEmpty():
             break
@@ -56,11 +56,11 @@ def flows(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, m
         front = front.select("start", "node", "depth")
         seen = cut(seen.unionByName(front))
     # edges within a flow, from nodes that were followed: a tree has one fewer than nodes
-    followed = seen.filter(F.col("depth") < max_depth).join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-    inside = followed.join(seen.select("start", "node"), ["start", "node"]).groupBy("start").agg(F.count("*").alias("n_edges"))
-    sizes = seen.groupBy("start").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("deepest")).join(inside, "start", "left")
+    followed = seen.filter(F.col("depth") < max_depth).join(long(e), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+    inside = followed.join(long(seen.select("start", "node")), ["start", "node"]).groupBy("start").agg(F.count("*").alias("n_edges"))
+    sizes = seen.groupBy("start").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("deepest")).join(long(inside), "start", "left")
     flags = sizes.select("start", "n_nodes", ((F.col("n_nodes") >= max_nodes) | (F.col("deepest") >= max_depth)).alias("truncated"), (F.coalesce("n_edges", F.lit(0)) > F.col("n_nodes") - 1).alias("cycle"))
-    return seen.join(flags, "start")
+    return seen.join(long(flags), "start")
 
 
 def longest_chains(edges: DataFrame, starts: DataFrame, least: int = 1) -> DataFrame:
@@ -72,24 +72,24 @@ def longest_chains(edges: DataFrame, starts: DataFrame, least: int = 1) -> DataF
     shared(edges)
     e = cut(graphs.simple(edges))
     rings = cut(graphs.cycles(e))
-    name = lambda df, c, to: df.join(rings.select(F.col("node").alias(c), F.col("component").alias("_c")), c, "left").withColumn(to, F.coalesce("_c", c)).drop("_c")
+    name = lambda df, c, to: df.join(long(rings.select(F.col("node").alias(c), F.col("component").alias("_c"))), c, "left").withColumn(to, F.coalesce("_c", c)).drop("_c")
     dag = cut(name(name(e, "src", "a"), "dst", "b").filter("a <> b").select("a", "b").distinct())
     sizes = rings.groupBy("component").agg(F.count("*").alias("size")).withColumnRenamed("component", "node")
     nodes = starts.select("node").unionByName(e.select(F.col("src").alias("node"))).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    nodes = name(nodes, "node", "c").select(F.col("c").alias("node")).distinct().join(sizes, "node", "left")
+    nodes = name(nodes, "node", "c").select(F.col("c").alias("node")).distinct().join(long(sizes), "node", "left")
     best = cut(nodes.select("node", F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.coalesce("size", F.lit(1)).cast("long").alias("depth"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("next"), F.col("size").isNotNull().alias("cyclic")))
     front = best.select("node", "depth")
     while True:
-        offer = front.join(dag, front["node"] == dag["b"]).groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("depth"), F.col("b"))).alias("x"))
+        offer = front.join(long(dag), front["node"] == dag["b"]).groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("depth"), F.col("b"))).alias("x"))
         offer = offer.select("node", (-F.col("x.col1")).alias("more"), F.col("x.b").alias("by"))
         longer = F.coalesce(F.col("size") + F.col("more") > F.col("depth"), F.lit(False)) | F.coalesce((F.col("size") + F.col("more") == F.col("depth")) & (F.col("by") < F.col("next")), F.lit(False))
-        grown = cut(best.join(offer, "node", "left").withColumn("grew", longer))
+        grown = cut(best.join(long(offer), "node", "left").withColumn("grew", longer))
         best = grown.select("node", "size", F.when(F.col("grew"), F.col("size") + F.col("more")).otherwise(F.col("depth")).alias("depth"), F.when(F.col("grew"), F.col("by")).otherwise(F.col("next")).alias("next"), "cyclic")
         front = grown.filter("grew").select("node", (F.col("size") + F.col("more")).alias("depth"))
         if front.isEmpty():
             break
     best = cut(best)
-    at = name(starts.select(F.col("node").alias("start")).distinct(), "start", "node").join(best.select("node", "depth", "next", "cyclic"), "node").filter(F.col("depth") >= least)
+    at = name(starts.select(F.col("node").alias("start")).distinct(), "start", "node").join(long(best.select("node", "depth", "next", "cyclic")), "node").filter(F.col("depth") >= least)
     ways = cut(at.select("start", "depth", F.array("node").alias("path"), F.col("next").alias("node"), "cyclic"))
     step = best.select("node", "next", F.col("cyclic").alias("ring"))
     done = ways.filter("node is null")
@@ -97,5 +97,5 @@ def longest_chains(edges: DataFrame, starts: DataFrame, least: int = 1) -> DataF
         ways = ways.filter("node is not null")
         if ways.isEmpty():
             return done.select("start", "depth", "path", "cyclic")
-        ways = cut(ways.join(step, "node").select("start", "depth", F.array_append("path", F.col("node")).alias("path"), F.col("next").alias("node"), (F.col("cyclic") | F.col("ring")).alias("cyclic")))
+        ways = cut(ways.join(long(step), "node").select("start", "depth", F.array_append("path", F.col("node")).alias("path"), F.col("next").alias("node"), (F.col("cyclic") | F.col("ring")).alias("cyclic")))
         done = done.unionByName(ways.filter("node is null"))

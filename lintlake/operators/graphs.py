@@ -22,6 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def long(df: DataFrame) -> DataFrame:
+    """The table as a side of a join that is never broadcast. Written tables of names compress well, so Spark takes long ones for small
+    and would send them whole through the driver."""
+    return df.hint("merge")
+
+
 def shared(df: DataFrame) -> None:
     """Sees to it that `cut` cuts: rounds without end need written tables. Where no folder is named, a local session gets one
     of its own; on a cluster that is an error, since each machine would have another."""
@@ -63,8 +69,8 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     front = labels
     while True:
         # only labels that fell in the round before can lower others
-        offered = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
-        both = cut(labels.join(offered, "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("fell")))
+        offered = front.join(long(edges), front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("offer"))
+        both = cut(labels.join(long(offered), "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("fell")))
         labels, front = both.select("node", "label"), both.filter("fell").select("node", "label")
         if front.isEmpty():
             return labels
@@ -76,7 +82,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        edges = cut(edges.join(long(into), "src", "left_semi").join(long(out), "dst", "left_semi").select("src", "dst"))
         n, before = edges.count(), n
         if n > 0.9 * before:
             break
@@ -96,24 +102,24 @@ def cycles(edges: DataFrame) -> DataFrame:
         nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
         names = _spread(cut(nodes.withColumn("label", F.col("node"))), edges)
         a, b = names.toDF("src", "a"), names.toDF("dst", "b")
-        inner = cut(edges.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst", F.col("a").alias("name")))
+        inner = cut(edges.join(long(a), "src").join(long(b), "dst").filter("a = b").select("src", "dst", F.col("a").alias("name")))
         met = _backwards(names.filter("node = label").select("node", F.col("label").alias("component")), inner)
         found = met if found is None else cut(found.unionByName(met))
         done = met.select("node")
-        rest = inner.join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti")
+        rest = inner.join(long(done.toDF("src")), "src", "left_anti").join(long(done.toDF("dst")), "dst", "left_anti")
         edges = _trimmed(cut(rest.select("src", "dst")))
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     several = found.filter("node != component").select("component").distinct()
-    return found.join(several, "component", "left_semi").select("node", "component")
+    return found.join(long(several), "component", "left_semi").select("node", "component")
 
 
 def _backwards(met: DataFrame, inner: DataFrame) -> DataFrame:
     """(node, component): the roots `met` and the nodes that reach the root of their name; `inner` has only edges within a name."""
     front = met
     while True:
-        nxt = front.join(inner, front["node"] == inner["dst"]).select(F.col("src").alias("node"), "component").distinct()
-        front = cut(nxt.join(met.select("node"), "node", "left_anti").select("node", "component"))
+        nxt = front.join(long(inner), front["node"] == inner["dst"]).select(F.col("src").alias("node"), "component").distinct()
+        front = cut(nxt.join(long(met.select("node")), "node", "left_anti").select("node", "component"))
         if front.isEmpty():
             return met
         met = cut(met.unionByName(front))
@@ -122,8 +128,8 @@ def _backwards(met: DataFrame, inner: DataFrame) -> DataFrame:
 def unresolved_to_known(raw: DataFrame, known: DataFrame) -> DataFrame:
     """(raw, fqcn): a type name resolves to the class of that full name, else, without a namespace, to the only class of that base name."""
     by_base = known.groupBy(F.element_at(F.split("fqcn", r"\\"), -1).alias("base")).agg(F.min("fqcn").alias("only"), F.count("*").alias("n")).filter("n = 1")
-    exact = raw.join(known.select(F.col("fqcn").alias("exact")), F.col("raw") == F.col("exact"), "left")
-    return exact.join(by_base, F.col("raw") == F.col("base"), "left").select("raw", F.coalesce("exact", F.when(~F.col("raw").contains("\\"), F.col("only"))).alias("fqcn"))
+    exact = raw.join(long(known.select(F.col("fqcn").alias("exact"))), F.col("raw") == F.col("exact"), "left")
+    return exact.join(long(by_base), F.col("raw") == F.col("base"), "left").select("raw", F.coalesce("exact", F.when(~F.col("raw").contains("\\"), F.col("only"))).alias("fqcn"))
 
 
 #: What a script's import may leave out, in the order in which files are tried.

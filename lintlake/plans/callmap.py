@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.functions import dealt
-from lintlake.operators import callmap, complexity, php
+from lintlake.operators import callmap, complexity, graphs, php
 from lintlake.plans.code import rendered
 
 BUDGET = 30
@@ -45,8 +45,9 @@ def classes(s, d):
 def call_chains(s, d):
     """The longest chains from each class's first method, of eight calls and more."""
     src = classes(s, d)
-    declared = php.declarations(src)
-    edges = callmap.call_edges(php.classes(declared, src), php.methods(declared))
+    graphs.shared(src)
+    declared = graphs.cut(php.declarations(src))  # files are parsed once
+    edges = graphs.cut(callmap.call_edges(graphs.cut(php.classes(declared, src)), graphs.cut(php.methods(declared))))
     starts = edges.select(F.col("src").alias("node")).filter("node like '%::m1'").distinct()
     chains = callmap.longest_chains(edges, starts, callmap.DEEP_CHAIN)
     return chains.select("start", "depth", "cyclic", F.size("path").cast("long").alias("n_steps"), F.element_at("path", -1).alias("last"))
