@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import dealt
-from lintlake.operators import php, rules
+from lintlake.operators import graphs, php, rules
 
 
 def _table(s, d, name):
@@ -81,7 +81,7 @@ def php_methods(s, d):
 
 def php_dependencies(s, d):
     src = controllers(s, d)
-    declared = php.declarations(src)
+    declared = graphs.cut(php.declarations(src))  # five kinds of dependencies are read from it
     return php.dependencies(php.classes(declared, src), php.methods(declared)).groupBy("how", "raw").agg(F.count("*").alias("n"))
 
 
