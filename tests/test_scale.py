@@ -5,7 +5,7 @@ import pytest
 
 from lintlake import catalog
 from lintlake.operators import callmap as callmap_operators
-from lintlake.operators import clones, graphs, textrules
+from lintlake.operators import clones, dataflow, graphs, textrules
 from lintlake.plans import bodies, callmap, code, contracts, flows, rules, upkeep
 
 RENDERED = [
@@ -66,3 +66,25 @@ def test_rules_that_flows_also_have_are_still_matched_on_texts():
     ids = lambda f: {r.rule_id for r in rules.FAMILIES[f]}
     assert {"ssrf-risk-http-client", "path-traversal-file-access", "insecure-file-download-response", "insecure-deserialization"} <= ids("security")
     assert "heading-order" in ids("accessibility")
+
+
+def test_every_sink_has_a_word_that_its_kind_is_looked_for_by():
+    calls = {
+        "ssrf": ["Http::get(", "Http::withToken($a)->post(", "curl_init("],
+        "path": ["file_get_contents(", "file_put_contents(", "fopen(", "readfile(", "unlink(", "copy(", "rename(", "file(", "Storage::get(", "File::delete("],
+        "download": ["response()->download(", "response() -> file(", "Storage::download(", "Response::download("], "redirect": ["redirect(", "redirect()->to(", "Redirect::away("],
+        "deserialize": ["unserialize(", "yaml_parse("], "sql": ["DB::select(", "DB::raw(", "->whereRaw(", "-> groupByRaw("],
+        "command": ["exec(", "shell_exec(", "system(", "passthru(", "proc_open(", "popen(", "Process::run("], "include": ["include ", "require_once "], "xss": ["echo ", "print "], "eval": ["eval(", "assert(", "create_function("],
+    }
+    assert calls.keys() == dataflow.SINKS.keys()
+    for kind, some in calls.items():
+        for call in some:
+            text = f"<?php function f(Request $request) {{ {call}{'$request->input(1)' if call.endswith(' ') else '$request->input(1))'}; }}"
+            assert kind in {e[6] for e in dataflow._events("a.php", text) if e[4] == "sink"}, call
+
+
+def test_dependencies_parse_once(spark, small, monkeypatch):
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    last = code.php_dependencies(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.count("MapInArrow") for p in [*plans, last]) == 1
