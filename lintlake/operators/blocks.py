@@ -15,27 +15,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators.graphs import cut, shared
-from lintlake.operators.php import _QUIET, _declared, each_file
+from lintlake.operators.php import _QUIET, _declared, blank, each_file
 
 WINDOW, STEP = 50, 25
 #: Blocks of a report.
 MOST = 200
 
 PLACES = "path string, method string, idx int, hash string, next string, first_line int, last_line int, tokens int"
+_KIND = dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_", "ID") | dict.fromkeys("0123456789", "NUM")
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+(?:\.\d+)?|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\n|[^\s]")
 
 
 def tokens(code: str) -> list[tuple[str, int]]:
     """(token, line) of a piece of code without its comments; lines count from 0."""
-    bare = _QUIET.sub(lambda m: m[0] if m[0][0] in "'\"" else "STR" if m[0].startswith("<<<") else re.sub(r"[^\n]", " ", m[0]), code)
+    bare = _QUIET.sub(lambda m: m[0] if m[0][0] in "'\"" else "STR" if m[0].startswith("<<<") else blank(m[0]), code)
     out, line = [], 0
-    for m in _TOKEN.finditer(bare):
-        t = m[0]
+    for t in _TOKEN.findall(bare):
         if t == "\n":
             line += 1
-            continue
-        out.append(("ID" if t[0].isalpha() or t[0] == "_" else "NUM" if t[0].isdigit() else "STR" if t[0] in "'\"" and len(t) > 1 else t, line))
-        line += t.count("\n")
+        elif kind := _KIND.get(t[0]):
+            out.append((kind, line))
+        elif t[0] in "'\"" and len(t) > 1:
+            out.append(("STR", line))
+            line += t.count("\n")
+        else:
+            out.append((t if t[0] < "\x80" else "ID" if t[0].isalpha() else "NUM" if t[0].isdigit() else t, line))
     return out
 
 
@@ -44,8 +48,8 @@ def _windowed(path: str, text: str, window: int, step: int) -> Iterator[tuple]:
         if kind != "function":
             continue
         t, method = tokens(body), f"{owner or ''}::{name}#{n}"
-        at = first + head.count("\n")
-        found = [(hashlib.blake2b("\x1f".join(x for x, _ in t[i : i + window]).encode(), digest_size=8).hexdigest(), t[i][1], t[i + window - 1][1]) for i in range(0, len(t) - window + 1, step)]
+        at, kinds = first + head.count("\n"), [x for x, _ in t]
+        found = [(hashlib.blake2b("\x1f".join(kinds[i : i + window]).encode(), digest_size=8).hexdigest(), t[i][1], t[i + window - 1][1]) for i in range(0, len(t) - window + 1, step)]
         yield path, method, None, None, None, first, first, len(t)  # the method itself
         for i, (a, b) in enumerate(zip(found, found[1:], strict=False)):
             yield path, method, i, a[0], b[0], at + a[1], at + b[2], len(t)
@@ -68,6 +72,7 @@ def block_places(found: DataFrame, window: int = WINDOW, step: int = STEP) -> Da
     """(block, tokens, path, first_line, last_line): where each block stands, overlapping places in a file as one; every block stands in two places or
     more. `found` is what `places` gives."""
     shared(found)
+    found = cut(found)  # files are parsed once
     order = Window.partitionBy("path", "method").orderBy("idx")
     follows = (F.col("idx") - F.lag("idx").over(order) == 1) & (F.col("who") == F.lag("who").over(order))
     runs = _shared(found).withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))

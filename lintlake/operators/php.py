@@ -21,7 +21,7 @@ from lintlake.functions import extension
 from lintlake.operators.findings import lines_of
 
 _QUIET = re.compile(r"<<<[ \t]*(['\"]?)(\w+)\1\n.*?(?:\n[ \t]*\2\b|\Z)|//[^\n]*|#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", re.S)
-_DECLARED = re.compile(r"((?:\b(?:public|protected|private|static|abstract|final|readonly)\s+)*)(?<!::)(?<!new )\b(class|interface|trait|enum|function)\s+&?([A-Za-z_]\w*)")
+_DECLARED = re.compile(r"\b((?:\b(?:public|protected|private|static|abstract|final|readonly)\s+)*)(?<!::)(?<!new )\b(class|interface|trait|enum|function)\s+&?([A-Za-z_]\w*)")
 _ROUTE, _GROUP = re.compile(r"\bRoute::"), re.compile(r"(?:->|::)group\s*\(")
 
 #: Words and signs of a body that add a path through it.
@@ -36,9 +36,14 @@ DECLARATIONS = "path string, ord int, kind string, name string, owner string, he
 STATEMENTS = "path string, line int, statement string, heads array<string>"
 
 
+def blank(text: str) -> str:
+    """As many blanks as the text has signs; its line ends stay."""
+    return re.sub(r"[^\n]", " ", text) if "\n" in text else " " * len(text)
+
+
 def quieted(text: str) -> str:
     """The text with all but line ends of its comments and strings as blanks, so that places stay."""
-    return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    return _QUIET.sub(lambda m: blank(m[0]), text)
 
 
 def _closing(quiet: str) -> dict[int, int]:

@@ -5,7 +5,7 @@ import pytest
 
 from lintlake import catalog
 from lintlake.operators import callmap as callmap_operators
-from lintlake.operators import clones, dataflow, graphs, textrules
+from lintlake.operators import blocks, clones, dataflow, graphs, textrules
 from lintlake.plans import bodies, callmap, code, contracts, flows, rules, upkeep
 
 RENDERED = [
@@ -88,3 +88,17 @@ def test_dependencies_parse_once(spark, small, monkeypatch):
     monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
     last = code.php_dependencies(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert sum(p.count("MapInArrow") for p in [*plans, last]) == 1
+
+
+@pytest.mark.parametrize("name", ["clone_blocks"])
+def test_blocks_parse_once(spark, small, monkeypatch, name):
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(blocks, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    last = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.count("MapInArrow") for p in [*plans, last]) == 1
+
+
+def test_tokens_of_odd_signs_and_strings_over_lines():
+    code = "é = 'a\nb' . \"c\"; // x\n/* y\n */ ² + 12.5 <<<X\nab\nX . '"
+    want = [("ID", 0), ("=", 0), ("STR", 0), (".", 1), ("STR", 1), (";", 1), ("NUM", 3), ("+", 3), ("NUM", 3), ("ID", 3), (".", 3), ("'", 3)]
+    assert blocks.tokens(code) == want
