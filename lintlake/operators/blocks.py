@@ -106,6 +106,8 @@ def largest(at: DataFrame, most: int = MOST) -> DataFrame:
 
 def duplication(found: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
     """(path, total, duplicated, pct): of each file the tokens of its methods, and those that lie in windows shared with another method."""
+    shared(found)
+    found = cut(found)  # files are parsed once
     first = F.col("idx") * step
     spans = _shared(found).select("path", "method", first.alias("a"), (first + step + window).alias("b"))
     order = Window.partitionBy("path", "method").orderBy("a")

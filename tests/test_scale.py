@@ -90,7 +90,7 @@ def test_dependencies_parse_once(spark, small, monkeypatch):
     assert sum(p.count("MapInArrow") for p in [*plans, last]) == 1
 
 
-@pytest.mark.parametrize("name", ["clone_blocks"])
+@pytest.mark.parametrize("name", ["clone_blocks", "file_duplication"])
 def test_blocks_parse_once(spark, small, monkeypatch, name):
     plans, cut = [], graphs.cut
     monkeypatch.setattr(blocks, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
