@@ -17,12 +17,22 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 20_000
 #: Bytes of text that a Python worker takes in hand at once.
 SLICE_BYTES = 4 << 20
+#: Rows that Spark hands to a Python worker at once. A batch lies in the executor's memory beside its heap, several times over while
+#: its buffers grow and are passed on.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have BATCH_ROWS rows at most; a lower number that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is named, a local session gets one of its own; on a
     cluster that is an error, since each machine would have another."""

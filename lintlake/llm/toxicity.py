@@ -16,11 +16,12 @@ from itertools import product
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bind, join_small_or_shuffled, quoted, slices, table, with_fields, written
+from .common import bind, join_small_or_shuffled, quoted, slices, small_batches, table, with_fields, written
 
 #: Labelled rows that are learned from at most, those with the least hashes of doc_id; the model's only sample.
 MAX_LABELLED = 20_000
@@ -238,22 +239,31 @@ def _lexicon(rows: DataFrame) -> list[str]:
     return sorted(w for w in passed if not any(w[:n] + "*" in passed for n in STEM_LETTERS if n < len(w.rstrip("*"))))
 
 
-def score(docs: DataFrame, learned: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:
-    """`docs` with `counts` (arcs by kind) and `score` from 0 to 1. A null or empty text has no sentence. Columns that were
-    called `counts` or `score` are replaced, others stay, whatever they are called; texts of any length are read whole,
-    in slices bounded in bytes. Equal rows score alike; an empty table stays empty."""
-    names = [c for c in docs.columns if c not in ("counts", "score")]
-    left = docs.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"), F.col(quoted(text)).cast("string").alias("text"))
+def _scored(docs: DataFrame, names: list[str], learned: list[str], weights: np.ndarray, text: str) -> DataFrame:
+    """(row, counts, score): the columns `names` of `docs` as a struct. A text that is among them is not sent to the workers a second time."""
+    own = names.index(text) if text in names and docs.schema[text].dataType == T.StringType() else None
+    row = F.struct("*") if names == docs.columns else F.struct(*(F.col(quoted(c)) for c in names))
+    left = docs.select(row.alias("row"), *([F.col(quoted(text)).cast("string").alias("text")] if own is None else []))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         grammar = Grammar(learned)
         for batch in batches:
-            for part in slices(batch, 1):
+            texts = batch.column(1) if own is None else pc.struct_field(batch.column(0), [own])
+            for part in slices(pa.record_batch([batch.column(0), texts], ["row", "text"]), 1):
                 counts = [grammar.counts(t) for t in part.column(1).to_pylist()]
                 scores = weigh(np.array(counts, float).reshape(-1, len(KINDS)), weights)
                 yield pa.record_batch([part.column(0), pa.array(counts, pa.list_(pa.int32())), pa.array(scores)], ["row", "counts", "score"])
 
-    scored = left.mapInArrow(run, with_fields([left.schema["row"]], counts=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
+    return left.mapInArrow(run, with_fields([left.schema["row"]], counts=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
+
+
+def score(docs: DataFrame, learned: list[str], weights: np.ndarray, text: str = "text") -> DataFrame:
+    """`docs` with `counts` (arcs by kind) and `score` from 0 to 1. A null or empty text has no sentence. Columns that were
+    called `counts` or `score` are replaced, others stay, whatever they are called; texts of any length are read whole,
+    in slices bounded in bytes. Equal rows score alike; an empty table stays empty."""
+    names = [c for c in docs.columns if c not in ("counts", "score")]
+    scored = _scored(docs, names, learned, weights, text)
     return scored.select(*(F.col("row").getField(c).alias(c) for c in names), "counts", "score")
 
 
@@ -267,5 +277,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_civil(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that score under 0.5, with the columns of `docs`; repeated rows stay or go together, a null text
     stays."""
-    scored = score(docs.select(F.struct("*").alias("row"), F.col(quoted(text)).alias("text")), *learn(docs, labels, text=text))
-    return scored.filter("score < 0.5").select("row.*")
+    return _scored(docs, docs.columns, *learn(docs, labels, text=text), text).filter("score < 0.5").select("row.*")

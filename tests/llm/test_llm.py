@@ -232,6 +232,20 @@ def test_lexicon_counts_copies_once(spark):
     assert any("zorgle".startswith(w.rstrip("*")) for w in learned) and not any("qqqjunk".startswith(w.rstrip("*")) for w in learned)
 
 
+def test_toxicity_sends_a_text_to_its_workers_once(spark, none):
+    d = spark.createDataFrame([(i, f"you idiot {i}" if i % 2 else f"a fine day {i}", "x") for i in range(2500)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = toxicity.keep_civil(d, labels)
+    assert kept.columns == d.columns
+    assert 1000 < kept.count() < 2500
+    line = next(x for x in kept._jdf.queryExecution().analyzed().toString().splitlines() if "struct(" in x)
+    assert line.count("text") == 2, line  # the field and its name
+    scored = toxicity.score(d.drop("score"), [], toxicity.PRIOR)
+    assert scored.count() == 2500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_toxicity_learns_and_keeps_out_held_out_rows(spark, none):
     r = random.Random(3)
     clean = lambda: [r.choice("one two three four five six".split()) for _ in range(40)]
