@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, join_small_or_shuffled, quoted, slices, table, with_fields, written
+from .common import BROADCAST_ROWS, join_small_or_shuffled, quoted, slices, small_batches, table, with_fields, written
 
 RUN = 1
 BUCKETS = 10_000
@@ -94,6 +94,7 @@ def weights(
     Any columns may be there, whatever they are called; equal rows and equal ids are weighed apart. A text without
     words, or null, has no features and weight 0; an empty table stays empty. A long text is counted alone.
     """
+    small_batches(docs.sparkSession)
     gains, total = dictionary(docs, target, text, target_text, longest, buckets)
     gains = written(gains.select("feature", "n", "gain"), "gains")
     often = -(-total // BROADCAST_ROWS)  # at most BROADCAST_ROWS strings can occur so often

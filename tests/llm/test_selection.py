@@ -229,3 +229,10 @@ def test_op13(spark, small):
     assert {r.identity_error for r in got} == {got[0].identity_error}
     assert got[0].identity_error < 1e-4
     assert all(r.deviation == int(r.deviation_exact) for r in got)
+
+
+def test_weights_hands_out_few_rows_at_once(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert resampling.weights(d, d).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
