@@ -1,5 +1,7 @@
 """What keeps the queries over rendered sources and graphs in proportion to their tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -102,3 +104,26 @@ def test_tokens_of_odd_signs_and_strings_over_lines():
     code = "é = 'a\nb' . \"c\"; // x\n/* y\n */ ² + 12.5 <<<X\nab\nX . '"
     want = [("ID", 0), ("=", 0), ("STR", 0), (".", 1), ("STR", 1), (";", 1), ("NUM", 3), ("+", 3), ("NUM", 3), ("ID", 3), (".", 3), ("'", 3)]
     assert blocks.tokens(code) == want
+
+
+def test_a_line_is_tried_with_few_patterns(spark):
+    """A rule's flag is read, not looked for among those of all rules, and a pattern is tried where a text that it can't do without stands."""
+    some = [r for r in textrules.RULES if not r.whole and not r.masked][:40]
+    plan = textrules.scan_texts(spark.createDataFrame([("a.php", "x")], "path string, content string"), some)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains(") == 1
+    assert plan.count("Contains(low") >= 35
+
+
+def test_required_texts_are_in_every_match():
+    for r in textrules.RULES:
+        for pattern, text in ((r.pattern, r.hit[1]), (r.needs, r.hit[1]), (r.unless, r.miss[1])):
+            some = textrules.required(pattern)
+            assert not some or all(any(t in m[0].lower() for t in some) for m in re.finditer(textrules.regex(pattern), text)), (r.rule_id, pattern)
+    cases = {"ab*c": [["a"], ["c"]], "(foo|bar)+x?": [["foo", "bar"]], "(foo|b?)": [[]], "(?!abc)d": [["d"]], "(?:abc)?": [[]], "(?-i:Use)[A-Z]": [["use"]], "[ab]": [[]], "x{0,3}yz{2}": [["y"], ["z"]], "ünter": [["nter"]]}
+    assert [p for p, want in cases.items() if textrules.required(p) not in want] == []
+
+
+def test_lines_without_findings_and_comments(spark):
+    text = "// useEffect(f)\n\nuseEffect(f) // x\n/* y */ console.log(1)\n// console.log(1)\nUSEEFFECT (f)\n"
+    found = textrules.scan_texts(spark.createDataFrame([("resources/js/A.tsx", text)], "path string, content string"))
+    assert {(r.line, r.rule_id) for r in found.collect()} == {(3, "no-direct-useeffect"), (4, "console-log-in-production-code"), (6, "no-direct-useeffect")}
