@@ -14,7 +14,10 @@ CONFIDENCE, SAFETY = {"high": 1.0, "medium": 0.6, "low": 0.3}, {"safe_edit": 1.0
 def grouped(findings: DataFrame, group: str = "rule_id") -> DataFrame:
     """The findings with the task that each is in: `task_kind` and `task_key`. Two or more of a file and group make a task
     (by_file); of the rest two or more of a rule (by_rule); others stand alone. Clusters of rules that name each other are
-    given by `group`, a column with the cluster's name. Counts are added up first and joined, so no task's findings are collected."""
+    given by `group`, a column with the cluster's name. Counts are added up first and joined, so no task's findings are collected. The
+    findings are read four times, so they are written once: what finds them may be a scan of all texts."""
+    shared(findings)
+    findings = cut(findings)
     files = findings.groupBy("file", group).agg(F.count("*").alias("_in_file"))
     marked = findings.join(files, ["file", group])
     rules = marked.filter("_in_file = 1").groupBy("rule_id").agg(F.count("*").alias("_of_rule"))

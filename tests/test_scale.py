@@ -7,7 +7,7 @@ import pytest
 
 from lintlake import catalog
 from lintlake.operators import callmap as callmap_operators
-from lintlake.operators import blocks, clones, dataflow, graphs, textrules
+from lintlake.operators import blocks, clones, dataflow, graphs, remediation, textrules
 from lintlake.plans import bodies, callmap, code, contracts, flows, rules, upkeep
 
 RENDERED = [
@@ -127,3 +127,10 @@ def test_lines_without_findings_and_comments(spark):
     text = "// useEffect(f)\n\nuseEffect(f) // x\n/* y */ console.log(1)\n// console.log(1)\nUSEEFFECT (f)\n"
     found = textrules.scan_texts(spark.createDataFrame([("resources/js/A.tsx", text)], "path string, content string"))
     assert {(r.line, r.rule_id) for r in found.collect()} == {(3, "no-direct-useeffect"), (4, "console-log-in-production-code"), (6, "no-direct-useeffect")}
+
+
+def test_tasks_scan_the_texts_once(spark, small, monkeypatch):
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(remediation, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    last = catalog.queries()["remediation_tasks"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.count("Generate posexplode(") for p in [*plans, last]) == 1
