@@ -35,32 +35,38 @@ def flows(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, m
     level, by name within a level, up to `max_nodes` nodes and `max_depth` steps. `truncated` says that the flow met either
     limit, `cycle` that some edge led to a node of the flow that another had led to before.
 
-    A start's state is bounded by its budget, and so is what a node may offer: no more of its edges are followed than could still
-    be new, the first by name, so a hub's edges don't multiply with the starts."""
+    A start's flow is at most `max_nodes` rows, each with the number of edges that led to it. A level joins the nodes of the level before with
+    their edges; what is new, what is taken and what is counted is then found by start, in one shuffle. No more of a node's edges
+    are followed than could still be new, the first by name, so a hub's edges don't multiply with the starts: they are looked up between the nodes of a flow."""
     shared(edges)
     e = edges if types is None else edges.filter(F.col("type").isin(*types))
-    e = cut(e.select("src", "dst").distinct())
-    first = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    offered = cut(e.withColumn("nth", first).filter(F.col("nth") <= 2 * max_nodes).drop("nth"))
-    seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
-    front, left = seen, seen.select("start", F.lit(max_nodes - 1).alias("room"))
-    by_name = Window.partitionBy("start").orderBy("node")
+    most, by_name = 2 * max_nodes, Window.partitionBy("src").orderBy("dst")
+    first = e.select("src", "dst", F.dense_rank().over(by_name).alias("nth")).filter(F.col("nth") <= most + 1)
+    near = cut(first.withColumn("before", F.lag("nth", 1, 0).over(by_name)).filter("before < nth").drop("before"))
+    hubs = near.filter(F.col("nth") > most).select("src")
+    hubs = None if hubs.isEmpty() else hubs
+    near = near.select("src", "dst", F.col("dst").isNotNull().cast("long").alias("n"))
+    if hubs is not None:
+        near = cut(near.join(long(hubs.withColumn("hub", F.lit(True))), "src", "left").select("src", "dst", F.when(F.col("hub"), 0).otherwise(F.col("n")).cast("long").alias("n")))
+    seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("n")).distinct())
+    nearest = Window.partitionBy("start").orderBy("depth", "node")
     for depth in range(1, max_depth + 1):
-        met = front.join(long(offered), front["node"] == offered["src"]).select("start", F.col("dst").alias("node")).distinct().join(long(seen.select("start", "node")), ["start", "node"], "left_anti")
-        ranked = met.join(long(left.filter("room > 0")), "start").withColumn("nth", F.row_number().over(by_name)).filter("nth <= room")
-        front = cut(ranked.select("start", "node", F.lit(depth).alias("depth"), "room"))
+        front = seen.filter(F.col("depth") == depth - 1).select("start", F.col("node").alias("src"))
         if front.isEmpty():
             break
-        taken = front.groupBy("start").agg((F.min("room") - F.count("*")).alias("room"))
-        left = cut(taken)
-        front = front.select("start", "node", "depth")
-        seen = cut(seen.unionByName(front))
+        met = cut(front.join(long(near), "src").select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"), "n"))
+        if met.isEmpty():
+            break
+        nodes = seen.unionByName(met).repartition("start").groupBy("start", "node").agg(F.min("depth").alias("depth"), F.sum("n").alias("n"))
+        seen = cut(nodes.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= max_nodes).drop("nth"))
+    of_start = Window.partitionBy("start")
+    flags = seen.select("start", "node", "depth", F.count("*").over(of_start).alias("n_nodes"), F.max("depth").over(of_start).alias("deepest"), F.sum("n").over(of_start).alias("n_edges"))
+    if hubs is not None:
+        followed = seen.filter(F.col("depth") < max_depth).join(long(hubs), F.col("node") == F.col("src")).select("start", "src")
+        inside = followed.join(long(seen.select("start", F.col("node").alias("dst"))), "start").join(long(e.select("src", "dst")), ["src", "dst"], "left_semi")
+        flags = flags.join(long(inside.groupBy("start").agg(F.count("*").alias("more"))), "start", "left").withColumn("n_edges", F.col("n_edges") + F.coalesce("more", F.lit(0)))
     # edges within a flow, from nodes that were followed: a tree has one fewer than nodes
-    followed = seen.filter(F.col("depth") < max_depth).join(long(e), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-    inside = followed.join(long(seen.select("start", "node")), ["start", "node"]).groupBy("start").agg(F.count("*").alias("n_edges"))
-    sizes = seen.groupBy("start").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("deepest")).join(long(inside), "start", "left")
-    flags = sizes.select("start", "n_nodes", ((F.col("n_nodes") >= max_nodes) | (F.col("deepest") >= max_depth)).alias("truncated"), (F.coalesce("n_edges", F.lit(0)) > F.col("n_nodes") - 1).alias("cycle"))
-    return seen.join(long(flags), "start")
+    return flags.select("start", "node", "depth", "n_nodes", ((F.col("n_nodes") >= max_nodes) | (F.col("deepest") >= max_depth)).alias("truncated"), (F.col("n_edges") > F.col("n_nodes") - 1).alias("cycle"))
 
 
 def longest_chains(edges: DataFrame, starts: DataFrame, least: int = 1) -> DataFrame:

@@ -134,3 +134,14 @@ def test_tasks_scan_the_texts_once(spark, small, monkeypatch):
     monkeypatch.setattr(remediation, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
     last = catalog.queries()["remediation_tasks"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert sum(p.count("Generate posexplode(") for p in [*plans, last]) == 1
+
+
+def test_a_level_of_flows_is_one_join_and_one_shuffle_by_start(spark, monkeypatch):
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(callmap_operators, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("b", "a", "x"), ("a", "b", "x")], "src string, dst string, type string")
+    found = callmap_operators.flows(edges, spark.createDataFrame([("a",), ("z",)], "node string"), ["x"])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("SortMergeJoin") for p in plans] == [0, 0, 1, 0, 1, 0, 1, 0]  # edges, starts, what is met and the flows of each level, flags
+    assert [p.count("Exchange hashpartitioning(") for p in plans] == [1, 1, 2, 1, 2, 1, 2, 1]
+    assert {tuple(r) for r in found.collect()} == {("a", n, d, 3, False, True) for n, d in (("a", 0), ("b", 1), ("c", 2))} | {("z", "z", 0, 1, False, False)}
