@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.functions import dealt
-from lintlake.operators import dataflow, graphs, rules
+from lintlake.operators import dataflow, rules
 from lintlake.plans.code import rendered
 
 
@@ -43,10 +43,7 @@ def taint_flows(s, d):
 
 def definition_uses(s, d):
     """How many definitions reach each function's uses, by kind of use."""
-    e = graphs.cut(dataflow.events(sources(s, d))).withColumn("id", F.expr(dataflow._ID))  # files are parsed once
-    uses = e.filter("kind != 'param'").select("path", "unit", "at", F.explode("reads").alias("name"), F.col("kind").alias("user"))
-    held = dataflow.reaching(e.filter("kind in ('assign', 'param', 'guard')"), uses)
-    return held.groupBy("path", F.substring_index("unit", "::", -1).alias("function"), "user").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
+    return dataflow.uses(dataflow.event_lists(sources(s, d)))
 
 
 def _part_edges(s, d):

@@ -145,3 +145,13 @@ def test_a_level_of_flows_is_one_join_and_one_shuffle_by_start(spark, monkeypatc
     assert [p.count("SortMergeJoin") for p in plans] == [0, 0, 1, 0, 1, 0, 1, 0]  # edges, starts, what is met and the flows of each level, flags
     assert [p.count("Exchange hashpartitioning(") for p in plans] == [1, 1, 2, 1, 2, 1, 2, 1]
     assert {tuple(r) for r in found.collect()} == {("a", n, d, 3, False, True) for n, d in (("a", 0), ("b", 1), ("c", 2))} | {("z", "z", 0, 1, False, False)}
+
+
+@pytest.mark.parametrize("name", ["definition_uses", "taint_flows"])
+def test_flows_within_files_need_no_shuffle(spark, small, monkeypatch, name):
+    cuts = []
+    monkeypatch.setattr(graphs, "cut", lambda df: cuts.append(df) or df)
+    monkeypatch.setattr(dataflow, "cut", lambda df: cuts.append(df) or df)
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert not cuts and "Join" not in plan and "hashpartitioning" not in plan  # the one exchange deals the table's rows over tasks
