@@ -4,10 +4,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lintlake import catalog
+from lintlake.operators import bodies as bodies_operators
 from lintlake.operators import callmap as callmap_operators
-from lintlake.operators import blocks, clones, dataflow, graphs, remediation, textrules
+from lintlake.operators import blocks, clones, dataflow, graphs, php, remediation, textrules
 from lintlake.plans import bodies, callmap, code, contracts, flows, rules, upkeep
 
 RENDERED = [
@@ -155,3 +157,21 @@ def test_flows_within_files_need_no_shuffle(spark, small, monkeypatch, name):
     plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert not cuts and "Join" not in plan and "hashpartitioning" not in plan  # the one exchange deals the table's rows over tasks
+
+
+def test_rules_test_each_row_once_and_make_texts_once(spark, small, monkeypatch):
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    last = catalog.queries()["flow_rule_findings"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Repartition" in p for p in plans) == 1 and "Repartition" not in last  # the texts are rendered for the first written table only
+    assert not [line for p in [*plans, last] for line in p.splitlines() if "Filter" in line and "array_compact" in line]
+
+
+def test_files_that_hold_no_fact_are_not_parsed(spark):
+    texts = {"none.php": "<?php class A { function f($a) { /* for */ return $a->step1($a); } }", "all.php": "<?php class B { function f($request) { foreach ($as as $a) { $a->b->c; Post::find(1); $a->decrement('stock', $n); } } }\nRoute::get('/a', [B::class, 'f']);"}
+    src = spark.createDataFrame(list(texts.items()), "path string, content string")
+    for found in (php.routes(src), bodies_operators.queries(src), bodies_operators.accesses(src), dataflow.withdrawals(src.withColumn("path", F.concat(F.lit("app/Jobs/"), "path")))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.path.rpartition("/")[2] for r in found.collect()} == {"all.php"}
+        assert "RLIKE" in plan or "Contains" in plan, plan
+    assert list(dataflow._asked("none.php", texts["none.php"])) == [] and list(dataflow._asked("a.php", "<?php eval($_GET['a']);"))
